@@ -1,0 +1,163 @@
+"""Secret scan by assignment-aware lexing.
+
+Source and configuration text is lexed into (name, literal) pairs: quoted,
+bare and identifier values behind ``=``, ``:``, ``:=``, ``=>`` and, inside one
+text, constants that other names are assigned from. Each literal is scored by
+how sensitive its target name is and how much it looks like key material.
+Three plain patterns (assignments to sensitive words, access-key ids, long
+hex runs) are always reported; literals of the method are added where no
+plain span covers them.
+
+Defined results: a null text counts as empty; an empty text has no spans; a
+text of any length is scanned whole; repeated rows are scanned alike; other
+columns pass through ``scan`` untouched unless they clash with its own output
+names, which then win.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
+HEX = re.compile(r"[0-9a-f]{24,}")
+WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+# name, operator, value; the value is quoted, or bare up to white space or a delimiter
+PAIR = re.compile(
+    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]{0,79})["']?[\x20\t]{0,8}(?:=>|:=|=|:)[\x20\t]{0,8}(?:"([^"\n]{1,400})"|'([^'\n]{1,400})'|([^\s"',;(){}\[\]<>]{1,400}))""",
+    re.A,
+)
+# Sensitive parts of names and their weight.
+SENSITIVE = {
+    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5,
+    "credentials": 2.5, "private": 1.5, "auth": 1.5, "access": 1.0, "bearer": 2.5, "key": 1.5, "api": 1.0, "signing": 1.5, "encryption": 1.5,
+}
+HARMLESS = {"public", "id", "name", "path", "file", "url", "size", "count", "length", "type", "hint"}
+PLACEHOLDER = re.compile(r"\$\{|\{\{|<[^>]*>|%\(|\*{3}|(?i:xxxx|changeme|example|placeholder|your[_-]|dummy|redacted|null|none|true|false)")
+
+
+def name_parts(name: str) -> list[str]:
+    return [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
+
+
+def name_score(name: str) -> float:
+    parts = name_parts(name)
+    return sum(SENSITIVE.get(p, 0.0) for p in set(parts)) - 2.0 * any(p in HARMLESS for p in parts)
+
+
+def literal_score(value: str) -> float:
+    """Bits a character, plus mixed character classes; placeholders and short values fall out."""
+    if len(value) < 6 or PLACEHOLDER.search(value):
+        return -9.0
+    n = len(value)
+    entropy = -sum(c / n * math.log2(c / n) for c in (value.count(x) for x in set(value)))
+    classes = sum(any(f(x) for x in value) for f in (str.islower, str.isupper, str.isdigit))
+    return entropy - 2.5 + 0.7 * classes + (0.5 if n >= 16 else 0.0) - (2.0 if " " in value else 0.0)
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind index, end) of the plain patterns."""
+    low = text.encode("utf-8", "replace").lower()
+    out = []
+    if any(w in low for w in WORDS):
+        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    return sorted(out)
+
+
+def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
+    """(name, literal, start, end, quoted) of every assignment."""
+    out = []
+    for m in PAIR.finditer(text):
+        g = next(i for i in (2, 3, 4) if m[i] is not None)
+        out.append((m[1], m[g], m.start(g), m.end(g), g < 4))
+    return out
+
+
+def literal_spans(text: str, least: float = 3.5) -> list[tuple[int, int]]:
+    """Literals whose target name, or a name they reach by propagation, is sensitive."""
+    if "=" not in text and ":" not in text:
+        return []
+    pairs = lex(text)
+    if not pairs:
+        return []
+    targets: dict[str, list[tuple[str, int, int]]] = {}
+    copies: dict[str, set[str]] = {}
+    for name, value, start, end, quoted in pairs:
+        if quoted or not re.fullmatch(r"[A-Za-z_][\w.-]*", value, re.A):
+            targets.setdefault(name, []).append((value, start, end))
+        else:
+            targets.setdefault(name, []).append((value, start, end))
+            copies.setdefault(value, set()).add(name)
+    # a name is as sensitive as the most sensitive name assigned from it
+    found = set()
+    memo: dict[str, float] = {}
+    for name, values in targets.items():
+        if name not in memo:
+            seen, todo, best = {name}, [name], name_score(name)
+            while todo:
+                for nxt in copies.get(todo.pop(), ()):
+                    if nxt not in seen:
+                        seen.add(nxt)
+                        todo.append(nxt)
+                        best = max(best, name_score(nxt))
+            memo[name] = best
+        if memo[name] < 2.0:
+            continue
+        for value, start, end in values:
+            if value not in targets and memo[name] + literal_score(value) >= least:
+                found.add((start, end))
+    return sorted(found)
+
+
+def scan_text(text: str | None) -> dict:
+    """All spans of one text; ``spans`` entries are (kind, start, end)."""
+    text = text or ""
+    base = base_spans(text)
+    added = [(s, 3, e) for s, e in literal_spans(text) if not any(b[0] < e and s < b[2] for b in base)]
+    names = (*KINDS, "literal")
+    show = lambda xs: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in xs)
+    return {
+        "n_assign": sum(k == 0 for _, k, _ in base), "n_access": sum(k == 1 for _, k, _ in base), "n_hex": sum(k == 2 for _, k, _ in base),
+        "base": show(base), "spans": show(sorted(base + added)), "n_literal": len(added), "values": [text[s:e] for s, _, e in sorted(base + added)],
+    }
+
+
+SCHEMA = T.StructType([
+    T.StructField("n_assign", T.LongType()), T.StructField("n_access", T.LongType()), T.StructField("n_hex", T.LongType()), T.StructField("n_literal", T.LongType()),
+    T.StructField("base", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("values", T.ArrayType(T.StringType())),
+])
+
+
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add the span columns to ``keep`` (all other columns by default); one narrow pass, no shuffle."""
+    names = [f.name for f in SCHEMA]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    kept = docs.select(*keep, docs[text].alias("__text")).schema
+    out = T.StructType([f for f in kept if f.name != "__text"] + list(SCHEMA))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(out)
+        for batch in batches:
+            found = [scan_text(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            cols = [batch.column(i).cast(schema.field(i).type) for i in range(batch.num_columns - 1)]
+            cols += [pa.array([x[n] for x in found], schema.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, out)
+
+
+def digest(scanned: DataFrame) -> DataFrame:
+    """The query's columns from ``scan``'s."""
+    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base"), 256).alias("base_sha256"), "spans", "n_literal")
