@@ -29,10 +29,12 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark).rstrip('/')}/stratabar/{tag}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.made = 0
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` under ``name`` and return a frame that reads it again."""
-        path = f"{self.base}/{name}-{len(self.paths)}"
+        self.made += 1
+        path = f"{self.base}/{name}-{self.made}"
         df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

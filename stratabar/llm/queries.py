@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratabar.llm import secrets
+from stratabar.llm import secrets, simhash, toxicity
 from stratabar.llm.common import table
 
 
@@ -12,7 +12,20 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    return toxicity.digest(toxicity.score(spark, docs, model))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.classes(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex16(out["fp"]).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op7_simhash": op7_simhash,
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLES: dict[str, str] = {}
