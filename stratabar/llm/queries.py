@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratabar.llm import secrets, simhash, toxicity
+from stratabar.llm import packing, secret_scan, simhash, toxicity
 from stratabar.llm.common import table
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex16(out["fp"]).alias("fingerprint"), "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_packing": op10_packing,
     "op1_toxicity": op1_toxicity,
     "op7_simhash": op7_simhash,
     "op9_secret_scan": op9_secret_scan,
