@@ -19,6 +19,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from array import array
@@ -68,19 +69,41 @@ class Coder:
     character always begins a piece, and a single line feed between visible
     characters is a piece, so words can be encoded apart and remembered.
     Texts with any other white space, or special marks, are encoded whole.
+    ``path`` is a tokenizers file; ``ranks``, where given, the same vocabulary
+    as a rank file, used for single words.
     """
 
     OTHER = re.compile("[\t\r\v\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
 
-    def __init__(self, path: str | None):
+    #: Words left to the faster library: letters of Latin scripts, digits and ASCII marks.
+    PLAIN = re.compile("[\x20-\x7e\u00c0-\u024f]+")
+
+    def __init__(self, path: str | None, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
+            ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = Pieces(self.raw, self.raw("\n"))
+        self.words = self.by_rank(ranks) if ranks else None
+        self.known = Pieces(self.word, self.raw("\n"))
+
+    @staticmethod
+    def by_rank(path: str):
+        """The same vocabulary in tiktoken, several times as fast on one word."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def word(self, word: str) -> bytes:
+        if self.words is None or not self.PLAIN.fullmatch(word):
+            return self.raw(word)
+        return array("I", self.words.encode_ordinary(word)).tobytes()
 
     def raw(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
