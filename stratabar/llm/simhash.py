@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import Scratch, components, forest
+from stratabar.llm.common import Scratch, components
 
-TILE = 2048
+TILE = 1024
 RADIUS = 4
 #: Population counts of the low and the high half: 33 x 33 cells.
 CELLS = 33 * 33
@@ -91,17 +91,21 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest, as positions in left + right, of pairs within the radius; right None: pairs inside left."""
+    """Spanning forest, as positions in left + right, of pairs within the radius; right None: pairs inside left.
+
+    Groups are kept as labels, so memory stays that of the tiles however many pairs link.
+    """
     other, shift, n = (left, 0, len(left)) if right is None else (right, len(left), len(left) + len(right))
-    pairs: list[tuple[int, int]] = []
-    for i in range(0, len(left), 256):
-        a, b = np.nonzero(np.bitwise_count(left[i : i + 256, None] ^ other[None, :]) <= radius)
-        a, b = a + i, b + shift
-        keep = a < b
-        pairs += zip(a[keep].tolist(), b[keep].tolist(), strict=True)
-        if len(pairs) > 8 * n:
-            pairs = forest(pairs, n)
-    return forest(pairs, n)
+    label = np.arange(n)
+    for i in range(0, len(left), 128):
+        near = np.bitwise_count(left[i : i + 128, None] ^ other[None, :]) <= radius
+        for a in np.flatnonzero(near.any(axis=1)).tolist():
+            met = label[shift + np.flatnonzero(near[a])]
+            if (met != label[i + a]).any():
+                ids = np.unique(np.append(met, label[i + a]))
+                label[np.isin(label, ids)] = ids[0]
+    moved = np.flatnonzero(label != np.arange(n))
+    return list(zip(moved.tolist(), label[moved].tolist(), strict=True))
 
 
 def link_edges(spark: SparkSession, fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
