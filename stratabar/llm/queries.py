@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratabar.llm import packing, secret_scan, simhash, toxicity
+from stratabar.llm import lm_score, packing, secret_scan, simhash, toxicity
 from stratabar.llm.common import table
 
 
@@ -27,7 +27,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_lm_score": op8_lm_score,
     "op10_packing": op10_packing,
     "op1_toxicity": op1_toxicity,
     "op7_simhash": op7_simhash,
