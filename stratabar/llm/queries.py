@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratabar.llm import lm_score, packing, secret_scan, simhash, toxicity
+from stratabar.llm import balltree, lm_score, packing, secret_scan, simhash, toxicity
 from stratabar.llm.common import table
 
 
@@ -31,11 +31,30 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return balltree.top_k(spark, vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
+    "op6_top_k": op6_top_k,
     "op8_lm_score": op8_lm_score,
     "op10_packing": op10_packing,
     "op1_toxicity": op1_toxicity,
     "op7_simhash": op7_simhash,
     "op9_secret_scan": op9_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+}
