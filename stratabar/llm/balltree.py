@@ -134,7 +134,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
     n_shards, n_blocks = max(1, -(-sizes["count"] // shard)), max(1, -(-asked.count() // block))
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     rows = rows.withColumn("shard", deal(n_shards, 1))
-    asked = asked.withColumn("block", deal(n_blocks, 2))
+    asked = scratch.keep("asked", asked.withColumn("block", deal(n_blocks, 2)))
     schema = "query_id long, vec_id long, score long"
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -150,14 +150,14 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int =
 
     # first pass: each block meets one shard; its k-th score there bounds all others
     first = asked.withColumn("shard", F.pmod(F.col("block"), F.lit(n_shards))).withColumn("floor", F.lit(None).cast("long"))
-    part = rows.join(first.select("block", "shard").distinct(), "shard")
-    seen = scratch.keep("first", part.groupBy("block", "shard").cogroup(first.groupBy("block", "shard")).applyInPandas(search, schema))
+    part = rows.join(first.select(F.col("block").alias("b"), F.col("shard").alias("shard")).distinct(), "shard").select("vec_id", "v", "b", F.col("shard").alias("s"))
+    seen = scratch.keep("first", part.groupBy("b", "s").cogroup(first.groupBy("block", "shard")).applyInPandas(search, schema))
     floors = seen.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("c")).where(F.col("c") >= k).select(F.col("query_id").alias("vec_id"), "floor")
     # second pass: every other pair of block and shard
-    pairs = asked.select("block").distinct().join(spark.range(n_shards).select(F.col("id").cast("int").alias("shard")), F.pmod(F.col("block"), F.lit(n_shards)) != F.col("shard"))
+    pairs = asked.select("block").distinct().withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).where(F.pmod("block", F.lit(n_shards)) != F.col("shard"))
     rest = asked.join(floors, "vec_id", "left").join(pairs, "block")
-    part = rows.join(pairs, "shard")
-    more = part.groupBy("block", "shard").cogroup(rest.groupBy("block", "shard")).applyInPandas(search, schema)
+    part = rows.join(pairs.select(F.col("block").alias("b"), F.col("shard").alias("shard")), "shard").select("vec_id", "v", "b", F.col("shard").alias("s"))
+    more = part.groupBy("b", "s").cogroup(rest.groupBy("block", "shard")).applyInPandas(search, schema)
     # at most k rows a query and shard meet here
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return seen.union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
