@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratabar.llm import balltree, lm_score, packing, secret_scan, simhash, toxicity
+from stratabar.llm import balltree, itq, lm_score, packing, secret_scan, simhash, toxicity
 from stratabar.llm.common import table
 
 
@@ -36,7 +36,12 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.top_k(spark, vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op4_itq": op4_itq,
     "op6_top_k": op6_top_k,
     "op8_lm_score": op8_lm_score,
     "op10_packing": op10_packing,
