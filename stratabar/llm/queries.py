@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stratabar.llm import balltree, itq, lm_score, packing, secret_scan, simhash, toxicity
+from stratabar.llm import balltree, itq, lm_score, mixing, packing, secret_scan, simhash, toxicity
 from stratabar.llm.common import table
 
 
@@ -40,7 +41,13 @@ def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.sample(spark, table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("factor", "probability")})
+
+
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op4_itq": op4_itq,
     "op6_top_k": op6_top_k,
     "op8_lm_score": op8_lm_score,
@@ -50,6 +57,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
 }
 ORACLES: dict[str, str] = {
+    "op3_mixing": mixing.oracle(),
     "op6_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
