@@ -250,7 +250,9 @@ class Table:
             won = np.flatnonzero(free)[first]
             self.tags[slot[won]] = low[todo[won]] << 6 | step
             self.values[slot[won]] = values[todo[won]]
-            todo = np.delete(todo, won)
+            keep = np.ones(len(todo), dtype=bool)
+            keep[won] = False
+            todo = todo[keep]
             if not len(todo):
                 return
         raise ValueError("a run of full slots is longer than 63")
@@ -295,7 +297,9 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> dict:
         if seen > HEAD:
             least = k + 1
             break
-    head = {bytes(r["word"]): r["n"] for r in vocab.where(F.col("word").isNotNull() & (F.col("n") >= (1 << least))).collect()} if hist else {}
+    often = vocab.where(F.col("word").isNotNull() & (F.col("n") >= (1 << least))).toArrow()
+    head = dict(zip(often.column("word").to_pylist(), often.column("n").to_pylist(), strict=True)) if hist else {}
+    del often
     gram = scratch.keep("grams", counted.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")))
     parts = max(1, -(-gram.count() // PART))
     near = F.col("code").bitwiseAND(F.lit(0xFFFFFF00))
@@ -307,8 +311,8 @@ def train(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> dict:
         keys = np.concatenate([strip(x.keys, 2) for x in found])
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (keys, *(np.concatenate([x.counts[i] for x in found]) for i in (0, 1)), np.concatenate([x.total for x in found]))], names=["key", "ones", "visits", "below"])
 
-    top = dealt.mapInArrow(shallow, "key long, ones double, visits double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("ones", "visits", "below"))).toPandas()
-    tree = Top(*(top[c].to_numpy() for c in ("key", "ones", "visits", "below")))
+    top = dealt.mapInArrow(shallow, "key long, ones double, visits double, below double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("ones", "visits", "below"))).toArrow()
+    tree = Top(*(top.column(c).to_numpy() for c in ("key", "ones", "visits", "below")))
     return {"n": n, "v": v, "end": end, "head": head, "vocab": vocab, "top": spark.sparkContext.broadcast(tree), "grams": gram, "parts": parts}
 
 
@@ -347,8 +351,8 @@ def score(spark: SparkSession, docs: DataFrame, mod: int = 7, held: int = 2, key
     head = spark.sparkContext.broadcast({w: math.log10(c + 1) for w, c in model["head"].items()})
     out = None
     for b in range(blocks):
-        got = logs.where(F.pmod("code", F.lit(blocks)) == b).select("code", F.col("log").cast("float").alias("log")).toPandas()
-        sent = spark.sparkContext.broadcast(Table(got["code"].to_numpy(), got["log"].to_numpy()))
+        got = logs.where(F.pmod("code", F.lit(blocks)) == b).select("code", F.col("log").cast("float").alias("log")).toArrow()
+        sent = spark.sparkContext.broadcast(Table(got.column("code").to_numpy(), got.column("log").to_numpy()))
         del got
         one = rows.mapInArrow(scorer(sent, head, b, blocks), SCORED)
         out = one if out is None else out.union(one)
