@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm import balltree, itq, lm_score, mixing, packing, secret_scan, simhash, toxicity
+from stratabar.llm import balltree, itq, linededup, lm_score, mixing, packing, secret_scan, simhash, toxicity
 from stratabar.llm.common import table
 
 
@@ -46,7 +46,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("factor", "probability")})
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linededup.digest(docs, linededup.removed(spark, docs))
+
+
 QUERIES = {
+    "op5_line_dedup": op5_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_itq": op4_itq,
     "op6_top_k": op6_top_k,
