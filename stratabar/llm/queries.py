@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm import balltree, itq, linededup, lm_score, mixing, packing, secret_scan, simhash, toxicity
+from stratabar.llm import balltree, itq, linededup, lm_score, mixing, packing, pii, secret_scan, simhash, toxicity
 from stratabar.llm.common import table
 
 
@@ -51,7 +51,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(docs, linededup.removed(spark, docs))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(spark, table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op2_pii": op2_pii,
     "op5_line_dedup": op5_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_itq": op4_itq,
