@@ -110,15 +110,33 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, held: tuple[i
     return {"weights": {w: float(x) for w, x in zip(words, weights, strict=False) if abs(x) > 1e-6}, "bias": bias}
 
 
+def scores(texts: list, model: dict) -> list[float]:
+    weights, bias = model["weights"], model["bias"]
+    if not weights:
+        return [0.0] * len(texts)
+    logits = (bias + math.fsum(weights[w] for w in weights.keys() & word_set(x)) for x in texts)
+    return [1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) for z in logits]
+
+
+def keep_below(spark: SparkSession, docs: DataFrame, model: dict, threshold: float) -> DataFrame:
+    """Rows of ``docs``, all columns, that score under the threshold."""
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([s < threshold for s in scores(batch.column(at).to_pylist(), sent.value)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score) of every row, whole texts."""
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        weights, bias = sent.value["weights"], sent.value["bias"]
-        keys = weights.keys()
         for batch in batches:
-            out = [1 / (1 + math.exp(-max(-700.0, min(700.0, bias + math.fsum(weights[w] for w in keys & word_set(x)))))) if weights else 0.0 for x in batch.column(1).to_pylist()]
+            out = scores(batch.column(1).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
