@@ -11,7 +11,7 @@ of fixed size). Each line puts its rarest words, as many as the prefix filter
 needs, into an inverted index, and one key for the whole line, which settles
 equal lines. Two lines meet where they share a key, their sizes allow the
 similarity (length filter) and so do the words left after the shared one
-(positional filter). Candidates are verified on the words of whole lines.
+(positional filter) and signatures of 64 bits. Candidates are verified on the words of whole lines.
 
 A key that at most ``SMALL`` lines share gives all its pairs. Under a key of
 more, every line first meets the earliest one alone, which settles large
@@ -35,6 +35,8 @@ from stratabar.llm.common import Scratch
 LEAST = 0.8
 BUCKETS = 1 << 16
 SMALL = 16
+#: Most line places that are broadcast, 16 bytes each.
+SENT = 1_000_000
 
 
 def norm(line: Column) -> Column:
@@ -64,72 +66,92 @@ def ranks(lines: DataFrame) -> Column:
 
 
 def postings(lines: DataFrame, rank: Column, least: float) -> DataFrame:
-    """(key, n, pos, doc_id, line): the rarest words of each line, rarest first, and a negative key of the whole line.
+    """(key, np, sig, doc_id, line): the rarest words of each line, rarest first, and a negative key of the whole line.
 
-    A word's key is its rank over 54 bits of its hash, so keys sort by rarity.
-    Of a whole line's key, n and pos are a second hash.
+    A word's key is its rank over 54 bits of its hash, so keys sort by rarity;
+    np holds the line's number of words and the word's position, sig a bit for
+    each word's hash. Of a whole line's key, np is a second hash.
     """
-    hashed = lines.select("doc_id", "line", F.col("raw"), F.transform(split_words(F.col("raw")), lambda w: F.xxhash64(w)).alias("h"))
     bits = (1 << 54) - 1
-    keyed = hashed.select("doc_id", "line", "raw", F.sort_array(F.array_distinct(F.transform("h", lambda h: F.shiftleft(F.get(rank, F.pmod(h, F.lit(BUCKETS)).cast("int")), 54).bitwiseOR(h.bitwiseAND(F.lit(bits)))))).alias("keys"))
-    # an empty word stands between two spaces; its hash is that of no bytes
-    keyed = keyed.withColumn("n", F.size("keys")).where("n > 0")
-    prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-    own = F.struct((-1 - F.abs(F.shiftrightunsigned(F.xxhash64(norm(F.col("raw"))), 1))).alias("key"), F.hash(norm(F.col("raw"))).alias("n"), F.length("raw").alias("pos"))
-    rare = F.transform(prefix, lambda k, i: F.struct(k.alias("key"), F.col("n").alias("n"), i.alias("pos")))
-    return keyed.select("doc_id", "line", F.explode(F.concat(F.array(own), rare)).alias("p")).select("p.key", "p.n", "p.pos", "doc_id", "line")
+    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+    keys = F.sort_array(F.array_distinct(F.transform(split_words(F.col("raw")), lambda w: F.shiftleft(F.get(rank, bucket(w)), 54).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(bits))))))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    keyed = lines.select("doc_id", "line", keys.alias("keys"), F.xxhash64(norm(F.col("raw"))).alias("h"), F.hash(norm(F.col("raw"))).alias("g"), F.length("raw").alias("len"))
+    prefix = F.slice("keys", 1, (F.size("keys") - F.ceil(F.size("keys") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
+    cut = keyed.select("doc_id", "line", (-1 - F.shiftrightunsigned("h", 1)).alias("own"), pack(F.col("g"), F.col("len")).alias("second"), F.size("keys").alias("n"), prefix.alias("prefix"), F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k))).alias("sig"))
+    each = cut.select("doc_id", "line", "own", "second", "n", "sig", F.posexplode(F.concat(F.array("own"), "prefix")).alias("i", "key"))
+    return each.select("key", F.when(F.col("i") == 0, F.col("second")).otherwise(pack(F.col("n"), F.col("i") - 1)).alias("np"), "sig", "doc_id", "line")
 
 
-def may_match(xn, xpos, yn, ypos, least: float) -> Column:
-    """Length and positional filters; positions count from nought."""
-    need = F.lit(least / (1 + least)) * (xn + yn) - F.lit(1e-6)
-    return (F.least(xn, yn) >= F.lit(least) * F.greatest(xn, yn) - F.lit(1e-6)) & (F.least(xn - xpos, yn - ypos) >= need)
+def pack(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def unpacked(np: str) -> tuple[Column, Column]:
+    return F.shiftright(np, 32), F.col(np).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def may_match(np: str, sig: str, other_np: str, other_sig: str, least: float) -> Column:
+    """Length, positional and signature filters; positions count from nought, and words beyond those shared differ in a signature bit each at most."""
+    (xn, xpos), (yn, ypos) = unpacked(np), unpacked(other_np)
+    need = F.ceil(F.lit(least / (1 + least)) * (xn + yn) - F.lit(1e-6))
+    sized = F.least(xn, yn) >= F.lit(least) * F.greatest(xn, yn) - F.lit(1e-6)
+    return sized & (F.least(xn - xpos, yn - ypos) >= need) & (F.bit_count(F.col(sig).bitwiseXOR(F.col(other_sig))) <= xn + yn - 2 * need)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(xd, xl) of pairs whose similarity holds, by the words of both lines."""
-    need = pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")).union(pairs.select("yd", "yl")).distinct()
-    some = lines.join(need.select("doc_id").distinct(), "doc_id", "left_semi").join(need, ["doc_id", "line"], "left_semi")
-    words = scratch.keep("words", some.select("doc_id", "line", words_of(F.col("raw")).alias("w")))
-    x = words.select(F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("w").alias("xw"))
-    y = words.select(F.col("doc_id").alias("yd"), F.col("line").alias("yl"), F.col("w").alias("yw"))
+    """(xd, xl) of pairs whose similarity holds, by the words of both whole lines."""
+    need = scratch.keep("need", pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")).union(pairs.select("yd", "yl")).distinct())
+    # the lines' places, 16 bytes each, go to every executor while they are few; else the texts are shuffled
+    few = need.count() <= SENT
+    texts = scratch.keep("texts", lines.join(F.broadcast(need) if few else need, ["doc_id", "line"], "left_semi"))
+    x = texts.select(F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("raw").alias("xr"))
+    y = texts.select(F.col("doc_id").alias("yd"), F.col("line").alias("yl"), F.col("raw").alias("yr"))
     both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-    common = F.size(F.array_intersect("xw", "yw"))
-    return both.where(common >= F.lit(least) * (F.size("xw") + F.size("yw") - common) - F.lit(1e-9)).select("xd", "xl").distinct()
+    # bound to lambda variables, so that no part is evaluated twice
+    words = F.array(F.struct(words_of(F.col("xr")).alias("x"), words_of(F.col("yr")).alias("y")))
+    sizes = lambda w: F.array(F.struct(F.size(F.array_intersect(w["x"], w["y"])).alias("c"), (F.size(w["x"]) + F.size(w["y"])).alias("s")))
+    alike = F.exists(words, lambda w: F.exists(sizes(w), lambda z: z["c"] >= F.lit(least) * (z["s"] - z["c"]) - F.lit(1e-9)))
+    return both.where(alike).select("xd", "xl").distinct()
 
 
 def removed(spark: SparkSession, docs: DataFrame, least: float = LEAST, small: int = SMALL, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, line) of every line to remove."""
     scratch = Scratch(spark, "lines")
-    lines = lines_of(docs, text, key).where(F.trim(F.replace("raw", F.lit("\t"), F.lit(" "))) != "")
+    lines = lines_of(docs, text, key).where(norm(F.col("raw")) != "")
     index = postings(lines, ranks(lines), least)
+    counts = index.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    shared = scratch.keep("shared", index.join(counts, "key"))
     place = lambda d, n: F.struct(F.col(d), F.col(n))
-    stats = index.groupBy("key").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "line", "n", "pos")).alias("f")).where("cnt > 1")
-    x = index.toDF("key", "xn", "xpos", "xd", "xl")
-    first = x.join(stats, "key").select("key", "cnt", "xn", "xpos", "xd", "xl", F.col("f.doc_id").alias("fd"), F.col("f.line").alias("fl"), F.col("f.n").alias("fn"), F.col("f.pos").alias("fpos"))
-    first = scratch.keep("first", first)
-    later = place("xd", "xl") > F.struct(F.col("fd"), F.col("fl"))
-    equal = first.where((F.col("key") < 0) & later & (F.col("xn") == F.col("fn")) & (F.col("xpos") == F.col("fpos"))).select("xd", "xl").distinct()
-    equal = scratch.keep("equal", equal)
-    fits = may_match(F.col("xn"), F.col("xpos"), F.col("fn"), F.col("fpos"), least)
-    lead = first.where((F.col("key") >= 0) & later & fits).select("xd", "xl", F.col("fd").alias("yd"), F.col("fl").alias("yl"))
+    firsts = shared.groupBy("key").agg(F.min(F.struct("doc_id", "line", "np", "sig")).alias("f"))
+    lead = shared.join(firsts, "key").where(place("doc_id", "line") > F.struct("f.doc_id", "f.line"))
+    lead = lead.select("key", "cnt", "np", "sig", F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("f.doc_id").alias("yd"), F.col("f.line").alias("yl"), F.col("f.np").alias("fnp"), F.col("f.sig").alias("fsig"))
+    lead = scratch.keep("lead", lead)
+    scratch.drop("shared")
+    equal = scratch.keep("equal", lead.where("key < 0 and np = fnp").select("xd", "xl").distinct())
+    near = lead.where("key >= 0").join(equal, ["xd", "xl"], "left_anti")
+    fits = may_match("np", "sig", "fnp", "fsig", least)
+    one = near.where(fits).select("xd", "xl", "yd", "yl")
     # keys of few lines: the pairs that do not hold the first
-    few = first.where((F.col("key") >= 0) & (F.col("cnt") > 2) & (F.col("cnt") <= small) & later).select("key", "xn", "xpos", "xd", "xl")
-    y = few.toDF("key", "yn", "ypos", "yd", "yl")
-    before = place("yd", "yl") < place("xd", "xl")
-    fits2 = may_match(F.col("xn"), F.col("xpos"), F.col("yn"), F.col("ypos"), least)
-    rest = few.join(y, "key").where(before & fits2).select("xd", "xl", "yd", "yl")
-    pairs = scratch.keep("pairs", lead.union(rest).distinct().join(equal, ["xd", "xl"], "left_anti"))
+    few = lead.where((F.col("key") >= 0) & (F.col("cnt") > 2) & (F.col("cnt") <= small))
+    rest = earlier(few.join(equal, ["xd", "xl"], "left_anti"), few, least)
+    pairs = scratch.keep("pairs", one.union(rest).distinct())
     gone = scratch.keep("gone", equal.union(verified(pairs, lines, least, scratch)).distinct())
     # keys of many lines: what is unmatched meets all earlier lines
-    many = first.where((F.col("key") >= 0) & (F.col("cnt") > small) & later).select("key", "xn", "xpos", "xd", "xl")
-    open_ = many.join(gone, ["xd", "xl"], "left_anti")
-    y = many.toDF("key", "yn", "ypos", "yd", "yl")
-    more = scratch.keep("more", open_.join(y, "key").where(before & fits2).select("xd", "xl", "yd", "yl").distinct())
+    many = lead.where((F.col("key") >= 0) & (F.col("cnt") > small))
+    more = scratch.keep("more", earlier(many.join(gone, ["xd", "xl"], "left_anti"), many, least).join(pairs, ["xd", "xl", "yd", "yl"], "left_anti").distinct())
     gone = gone.union(verified(more, lines, least, scratch)).distinct()
     return gone.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"))
 
 
+def earlier(open_: DataFrame, every: DataFrame, least: float) -> DataFrame:
+    """(xd, xl, yd, yl): each open line with the lines of its key before it that pass the filters."""
+    x = open_.select("key", "np", "sig", "xd", "xl")
+    y = every.select("key", F.col("np").alias("fnp"), F.col("sig").alias("fsig"), F.col("xd").alias("yd"), F.col("xl").alias("yl"))
+    before = F.struct("yd", "yl") < F.struct("xd", "xl")
+    return x.join(y, "key").where(before & may_match("np", "sig", "fnp", "fsig", least)).select("xd", "xl", "yd", "yl")
+
+
 def digest(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): removed holds the line numbers, from nought, comma-joined."""
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
