@@ -438,7 +438,7 @@ def multiclass_brier(spark, sf_dir):
     return neat(recovery.brier(recovery.matched(spark, labelled(spark, sf_dir))), "brier")
 
 
-@query(o.query(*_REC, "hit AS (SELECT t.symbol, t.cp, min(p.pos) - t.cp AS delay FROM tcp t JOIN pcp p ON p.symbol = t.symbol AND p.state = t.into_state AND p.pos BETWEEN t.cp - 10 AND t.cp + 60 GROUP BY ALL)", "al AS (SELECT p.symbol, count(*) AS alarms FROM pcp p WHERE NOT EXISTS (SELECT 1 FROM tcp t WHERE t.symbol = p.symbol AND abs(t.cp - p.pos) <= 10) GROUP BY p.symbol)", "yr AS (SELECT symbol, count(*) / 252.0 AS years FROM renamed GROUP BY symbol)", "mt AS (SELECT t.symbol, median(delay)::DOUBLE AS median_delay, avg((delay IS NOT NULL)::INT) AS detection_rate FROM tcp t LEFT JOIN hit h ON h.symbol = t.symbol AND h.cp = t.cp GROUP BY t.symbol)", select="SELECT symbol, 'ma_cross' AS method, median_delay, round(detection_rate, 8) AS detection_rate, round(coalesce(alarms, 0) / years, 8) AS false_alarms_pa FROM yr LEFT JOIN mt USING (symbol) LEFT JOIN al USING (symbol)"))
+@query(o.query(*_REC, "hit AS (SELECT t.symbol, t.cp, min(p.pos) - t.cp AS delay FROM tcp t JOIN pcp p ON p.symbol = t.symbol AND p.state = t.into_state AND p.pos BETWEEN t.cp - 10 AND t.cp + 60 GROUP BY t.symbol, t.cp)", "al AS (SELECT p.symbol, count(*) AS alarms FROM pcp p WHERE NOT EXISTS (SELECT 1 FROM tcp t WHERE t.symbol = p.symbol AND abs(t.cp - p.pos) <= 10) GROUP BY p.symbol)", "yr AS (SELECT symbol, count(*) / 252.0 AS years FROM renamed GROUP BY symbol)", "mt AS (SELECT t.symbol, median(delay)::DOUBLE AS median_delay, avg((delay IS NOT NULL)::INT) AS detection_rate FROM tcp t LEFT JOIN hit h ON h.symbol = t.symbol AND h.cp = t.cp GROUP BY t.symbol)", select="SELECT symbol, 'ma_cross' AS method, median_delay, round(detection_rate, 8) AS detection_rate, round(coalesce(alarms, 0) / years, 8) AS false_alarms_pa FROM yr LEFT JOIN mt USING (symbol) LEFT JOIN al USING (symbol)"))
 def detection_delay(spark, sf_dir):
     return neat(recovery.detection(recovery.matched(spark, labelled(spark, sf_dir))), "detection_rate false_alarms_pa")
 
