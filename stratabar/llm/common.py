@@ -35,7 +35,7 @@ class Scratch:
         """Write ``df`` under ``name`` and return a frame that reads it again."""
         self.made += 1
         path = f"{self.base}/{name}-{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 

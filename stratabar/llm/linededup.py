@@ -120,17 +120,15 @@ def removed(spark: SparkSession, docs: DataFrame, least: float = LEAST, small: i
     scratch = Scratch(spark, "lines")
     lines = lines_of(docs, text, key).where(norm(F.col("raw")) != "")
     index = postings(lines, ranks(lines), least)
-    counts = index.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    shared = scratch.keep("shared", index.join(counts, "key"))
     place = lambda d, n: F.struct(F.col(d), F.col(n))
-    firsts = shared.groupBy("key").agg(F.min(F.struct("doc_id", "line", "np", "sig")).alias("f"))
-    lead = shared.join(firsts, "key").where(place("doc_id", "line") > F.struct("f.doc_id", "f.line"))
+    stats = index.groupBy("key").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "line", "np", "sig")).alias("f")).where("cnt > 1")
+    lead = index.join(stats, "key").where(place("doc_id", "line") > F.struct("f.doc_id", "f.line"))
     lead = lead.select("key", "cnt", "np", "sig", F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("f.doc_id").alias("yd"), F.col("f.line").alias("yl"), F.col("f.np").alias("fnp"), F.col("f.sig").alias("fsig"))
-    lead = scratch.keep("lead", lead)
-    scratch.drop("shared")
-    equal = scratch.keep("equal", lead.where("key < 0 and np = fnp").select("xd", "xl").distinct())
-    near = lead.where("key >= 0").join(equal, ["xd", "xl"], "left_anti")
     fits = may_match("np", "sig", "fnp", "fsig", least)
+    # a key of two lines that the filters part has nothing more to give
+    lead = scratch.keep("lead", lead.where(F.when(F.col("key") < 0, F.col("np") == F.col("fnp")).otherwise((F.col("cnt") > 2) | fits)))
+    equal = scratch.keep("equal", lead.where("key < 0").select("xd", "xl").distinct())
+    near = lead.where("key >= 0").join(equal, ["xd", "xl"], "left_anti")
     one = near.where(fits).select("xd", "xl", "yd", "yl")
     # keys of few lines: the pairs that do not hold the first
     few = lead.where((F.col("key") >= 0) & (F.col("cnt") > 2) & (F.col("cnt") <= small))
@@ -140,7 +138,8 @@ def removed(spark: SparkSession, docs: DataFrame, least: float = LEAST, small: i
     # keys of many lines: what is unmatched meets all earlier lines
     many = lead.where((F.col("key") >= 0) & (F.col("cnt") > small))
     more = scratch.keep("more", earlier(many.join(gone, ["xd", "xl"], "left_anti"), many, least).join(pairs, ["xd", "xl", "yd", "yl"], "left_anti").distinct())
-    gone = gone.union(verified(more, lines, least, scratch)).distinct()
+    gone = scratch.keep("removed", gone.union(verified(more, lines, least, scratch)).distinct())
+    scratch.drop("lead", "pairs", "more")
     return gone.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"))
 
 
@@ -164,5 +163,6 @@ def clean(docs: DataFrame, gone: DataFrame, text: str = "text", key: str = "doc_
     per = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
     parts = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    joined = docs.join(per, docs[key].cast("long") == per["__id"], "left")
+    # lists of line numbers go to every executor while they are few; else the texts are shuffled
+    joined = docs.join(F.broadcast(per) if gone.count() <= SENT else per, docs[key].cast("long") == per["__id"], "left")
     return joined.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns))
