@@ -158,7 +158,7 @@ class ChangePoints:
     the filter waits for anyway.
     """
 
-    full_replay = True
+    full_replay = False
 
     def __init__(self, expected_run: int = 120, longest: int = 300, sharpness: float = 0.7, causal_prior: bool = False):
         self.hazard, self.longest, self.sharpness, self.causal_prior = 1.0 / expected_run, longest, sharpness, causal_prior

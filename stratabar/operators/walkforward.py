@@ -118,8 +118,8 @@ class _Column:
 
 
 def folds(n: int, engine: Engine) -> list[tuple[int, int, int, int, int]]:
-    """(start, stop, first training row, training end, first replayed row) of every block."""
-    return [(s, min(s + engine.refit_every, n), max(0, s - engine.embargo - engine.max_train), s - engine.embargo, max(0, s - engine.warmup)) for s in range(engine.min_train, n, engine.refit_every)]
+    """(start, stop, first training row, training end, first replayed row) of every block; no warm-up means a replay from the first row."""
+    return [(s, min(s + engine.refit_every, n), max(0, s - engine.embargo - engine.max_train), s - engine.embargo, max(0, s - engine.warmup) if engine.warmup else 0) for s in range(engine.min_train, n, engine.refit_every)]
 
 
 def fold_table(bars: DataFrame, engine: Engine | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def fold_table(bars: DataFrame, engine: Engine | None = None) -> DataFrame:
     n = bars.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") > e.min_train)
     out = n.withColumn("start", F.explode(F.sequence(F.lit(e.min_train).cast("long"), F.col("n") - 1, F.lit(e.refit_every).cast("long"))))
     end = F.col("start") - e.embargo
-    return out.select("symbol", "start", F.least(F.col("start") + e.refit_every, "n").alias("stop"), F.greatest(F.lit(0).cast("long"), end - e.max_train).alias("train_from"), end.alias("train_end"), F.greatest(F.lit(0).cast("long"), F.col("start") - e.warmup).alias("replay_from"))
+    return out.select("symbol", "start", F.least(F.col("start") + e.refit_every, "n").alias("stop"), F.greatest(F.lit(0).cast("long"), end - e.max_train).alias("train_from"), end.alias("train_end"), F.greatest(F.lit(0).cast("long"), F.col("start") - (e.warmup or (1 << 62))).alias("replay_from"))
 
 
 def run_one(frame: pd.DataFrame, est: Estimator, engine: Engine) -> pd.DataFrame:
