@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,11 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def let_go(self) -> None:
+        """Let Spark delete shuffle files of plans no longer held, now that their result is written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables no later read needs."""
         jvm = self.spark._jvm

@@ -34,7 +34,7 @@ from stratabar.llm.common import Scratch
 
 LEAST = 0.8
 BUCKETS = 1 << 16
-SMALL = 16
+SMALL = 128
 #: Most line places that are broadcast, 16 bytes each.
 SENT = 1_000_000
 
@@ -104,14 +104,16 @@ def verified(pairs: DataFrame, lines: DataFrame, least: float, scratch: Scratch)
     need = scratch.keep("need", pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")).union(pairs.select("yd", "yl")).distinct())
     # the lines' places, 16 bytes each, go to every executor while they are few; else the texts are shuffled
     few = need.count() <= SENT
-    texts = scratch.keep("texts", lines.join(F.broadcast(need) if few else need, ["doc_id", "line"], "left_semi"))
-    x = texts.select(F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("raw").alias("xr"))
-    y = texts.select(F.col("doc_id").alias("yd"), F.col("line").alias("yl"), F.col("raw").alias("yr"))
+    some = lines.join(F.broadcast(need) if few else need, ["doc_id", "line"], "left_semi")
+    texts = scratch.keep("texts", some.withColumn("h", F.array_distinct(F.transform(split_words(F.col("raw")), lambda w: F.xxhash64(w)))))
+    x = texts.select(F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("raw").alias("xr"), F.col("h").alias("xh"))
+    y = texts.select(F.col("doc_id").alias("yd"), F.col("line").alias("yl"), F.col("raw").alias("yr"), F.col("h").alias("yh"))
     both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-    # bound to lambda variables, so that no part is evaluated twice
+    # by the words' hashes, and what passes by the words themselves; bound to lambda variables, so that no part is evaluated twice
     words = F.array(F.struct(words_of(F.col("xr")).alias("x"), words_of(F.col("yr")).alias("y")))
-    sizes = lambda w: F.array(F.struct(F.size(F.array_intersect(w["x"], w["y"])).alias("c"), (F.size(w["x"]) + F.size(w["y"])).alias("s")))
-    alike = F.exists(words, lambda w: F.exists(sizes(w), lambda z: z["c"] >= F.lit(least) * (z["s"] - z["c"]) - F.lit(1e-9)))
+    sizes = lambda x, y: F.array(F.struct(F.size(F.array_intersect(x, y)).alias("c"), (F.size(x) + F.size(y)).alias("s")))
+    enough = lambda z: z["c"] >= F.lit(least) * (z["s"] - z["c"]) - F.lit(1e-9)
+    alike = F.when(F.exists(sizes(F.col("xh"), F.col("yh")), enough), F.exists(words, lambda w: F.exists(sizes(w["x"], w["y"]), enough))).otherwise(False)
     return both.where(alike).select("xd", "xl").distinct()
 
 
@@ -127,19 +129,23 @@ def removed(spark: SparkSession, docs: DataFrame, least: float = LEAST, small: i
     fits = may_match("np", "sig", "fnp", "fsig", least)
     # a key of two lines that the filters part has nothing more to give
     lead = scratch.keep("lead", lead.where(F.when(F.col("key") < 0, F.col("np") == F.col("fnp")).otherwise((F.col("cnt") > 2) | fits)))
+    del index, stats
+    scratch.let_go()
     equal = scratch.keep("equal", lead.where("key < 0").select("xd", "xl").distinct())
-    near = lead.where("key >= 0").join(equal, ["xd", "xl"], "left_anti")
-    one = near.where(fits).select("xd", "xl", "yd", "yl")
-    # keys of few lines: the pairs that do not hold the first
-    few = lead.where((F.col("key") >= 0) & (F.col("cnt") > 2) & (F.col("cnt") <= small))
-    rest = earlier(few.join(equal, ["xd", "xl"], "left_anti"), few, least)
-    pairs = scratch.keep("pairs", one.union(rest).distinct())
+    # each line against the earliest of its keys
+    pairs = scratch.keep("pairs", lead.where((F.col("key") >= 0) & fits).select("xd", "xl", "yd", "yl").distinct().join(equal, ["xd", "xl"], "left_anti"))
     gone = scratch.keep("gone", equal.union(verified(pairs, lines, least, scratch)).distinct())
+    # keys of few lines: the pairs that do not hold the first, of lines not settled yet
+    few = lead.where((F.col("key") >= 0) & (F.col("cnt") > 2) & (F.col("cnt") <= small))
+    rest = scratch.keep("rest", earlier(few, few, least).join(gone, ["xd", "xl"], "left_anti").distinct().join(pairs, ["xd", "xl", "yd", "yl"], "left_anti"))
+    gone = scratch.keep("gone2", gone.union(verified(rest, lines, least, scratch)).distinct())
+    del few
+    scratch.let_go()
     # keys of many lines: what is unmatched meets all earlier lines
     many = lead.where((F.col("key") >= 0) & (F.col("cnt") > small))
-    more = scratch.keep("more", earlier(many.join(gone, ["xd", "xl"], "left_anti"), many, least).join(pairs, ["xd", "xl", "yd", "yl"], "left_anti").distinct())
+    more = scratch.keep("more", earlier(many.join(gone, ["xd", "xl"], "left_anti"), many, least).distinct().join(pairs.union(rest), ["xd", "xl", "yd", "yl"], "left_anti"))
     gone = scratch.keep("removed", gone.union(verified(more, lines, least, scratch)).distinct())
-    scratch.drop("lead", "pairs", "more")
+    scratch.drop("lead", "pairs", "rest", "more")
     return gone.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"))
 
 
@@ -147,7 +153,7 @@ def earlier(open_: DataFrame, every: DataFrame, least: float) -> DataFrame:
     """(xd, xl, yd, yl): each open line with the lines of its key before it that pass the filters."""
     x = open_.select("key", "np", "sig", "xd", "xl")
     y = every.select("key", F.col("np").alias("fnp"), F.col("sig").alias("fsig"), F.col("xd").alias("yd"), F.col("xl").alias("yl"))
-    before = F.struct("yd", "yl") < F.struct("xd", "xl")
+    before = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
     return x.join(y, "key").where(before & may_match("np", "sig", "fnp", "fsig", least)).select("xd", "xl", "yd", "yl")
 
 
