@@ -105,7 +105,7 @@ def chain_passes(emit: np.ndarray, move: np.ndarray, start: np.ndarray, backward
     a block is carried on, so the Python loop has about 2 sqrt(n) turns.
     """
     r, n, k = emit.shape
-    first = start * emit[:, 0]
+    first = np.maximum(start, 1e-100) * emit[:, 0]  # a state that training has emptied may still emit
     c0 = first.sum(axis=1)
     if n == 1:
         return (first / c0[:, None])[:, None], np.ones((r, 1, k)), np.log(c0)
