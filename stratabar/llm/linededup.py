@@ -105,10 +105,21 @@ def verified(pairs: DataFrame, lines: DataFrame, least: float, scratch: Scratch)
     # the lines' places, 16 bytes each, go to every executor while they are few; else the texts are shuffled
     few = need.count() <= SENT
     some = lines.join(F.broadcast(need) if few else need, ["doc_id", "line"], "left_semi")
-    texts = scratch.keep("texts", some.withColumn("h", F.array_distinct(F.transform(split_words(F.col("raw")), lambda w: F.xxhash64(w)))))
-    x = texts.select(F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("raw").alias("xr"), F.col("h").alias("xh"))
-    y = texts.select(F.col("doc_id").alias("yd"), F.col("line").alias("yl"), F.col("raw").alias("yr"), F.col("h").alias("yh"))
-    both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    part = lambda j: F.aggregate(F.filter("h", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == j), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
+    hashed = some.withColumn("h", F.array_distinct(F.transform(split_words(F.col("raw")), lambda w: F.xxhash64(w))))
+    texts = scratch.keep("texts", hashed.select("doc_id", "line", "raw", "h", F.size("h").alias("n"), *(part(j).alias(f"s{j}") for j in range(4))))
+    # signatures of 256 bits first, as 64 are full on long lines and texts are heavy to move
+    signs = ["n", "s0", "s1", "s2", "s3"]
+    side = lambda p, cols: texts.select(F.col("doc_id").alias(f"{p}d"), F.col("line").alias(f"{p}l"), *(F.col(c).alias(f"{p}{c}") for c in cols))
+    signed = pairs.join(side("x", signs), ["xd", "xl"]).join(side("y", signs), ["yd", "yl"])
+    apart = F.lit(0)
+    for j in range(4):
+        apart = apart + F.bit_count(F.col(f"xs{j}").bitwiseXOR(F.col(f"ys{j}")))
+    total = F.col("xn") + F.col("yn")
+    likely = signed.where(apart <= total - 2 * F.ceil(F.lit(least / (1 + least)) * total - F.lit(1e-6))).select("xd", "xl", "yd", "yl")
+    likely = scratch.keep("likely", likely)
+    both = likely.join(side("x", ["raw", "h"]).withColumnRenamed("xraw", "xr"), ["xd", "xl"]).join(side("y", ["raw", "h"]).withColumnRenamed("yraw", "yr"), ["yd", "yl"])
     # by the words' hashes, and what passes by the words themselves; bound to lambda variables, so that no part is evaluated twice
     words = F.array(F.struct(words_of(F.col("xr")).alias("x"), words_of(F.col("yr")).alias("y")))
     sizes = lambda x, y: F.array(F.struct(F.size(F.array_intersect(x, y)).alias("c"), (F.size(x) + F.size(y)).alias("s")))
