@@ -484,3 +484,39 @@ def test_pipeline_stages_take_empty_tables(spark, sf):
     none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in c.STAGES:
         assert stage(spark, none, sf).count() == 0, name
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    cursor = c.execute(queries.ORACLES[name])
+    names = sorted(got.columns)
+    at = [[d[0] for d in cursor.description].index(n) for n in names]
+    shown = lambda v: repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
+    assert sorted(tuple(shown(r[n]) for n in names) for r in got.collect()) == sorted(tuple(shown(r[i]) for i in at) for r in cursor.fetchall())
+
+
+def test_own_shared_folder_is_set_once():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        applicationId = "test-app"
+
+        def getConf(self):
+            return Conf()
+
+        def setCheckpointDir(self, path):
+            self.path = path
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    root = common.shared_root(Session)
+    assert root == common.shared_root(Session) == Session.sparkContext.path
