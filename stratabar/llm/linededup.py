@@ -119,6 +119,7 @@ def verified(pairs: DataFrame, lines: DataFrame, least: float, scratch: Scratch)
     total = F.col("xn") + F.col("yn")
     likely = signed.where(apart <= total - 2 * F.ceil(F.lit(least / (1 + least)) * total - F.lit(1e-6))).select("xd", "xl", "yd", "yl")
     likely = scratch.keep("likely", likely)
+    scratch.let_go()
     both = likely.join(side("x", ["raw", "h"]).withColumnRenamed("xraw", "xr"), ["xd", "xl"]).join(side("y", ["raw", "h"]).withColumnRenamed("yraw", "yr"), ["yd", "yl"])
     # by the words' hashes, and what passes by the words themselves; bound to lambda variables, so that no part is evaluated twice
     words = F.array(F.struct(words_of(F.col("xr")).alias("x"), words_of(F.col("yr")).alias("y")))
@@ -144,19 +145,27 @@ def removed(spark: SparkSession, docs: DataFrame, least: float = LEAST, small: i
     scratch.let_go()
     equal = scratch.keep("equal", lead.where("key < 0").select("xd", "xl").distinct())
     # each line against the earliest of its keys
+    scratch.let_go()
     pairs = scratch.keep("pairs", lead.where((F.col("key") >= 0) & fits).select("xd", "xl", "yd", "yl").distinct().join(equal, ["xd", "xl"], "left_anti"))
     gone = scratch.keep("gone", equal.union(verified(pairs, lines, least, scratch)).distinct())
     # keys of few lines: the pairs that do not hold the first, of lines not settled yet
-    few = lead.where((F.col("key") >= 0) & (F.col("cnt") > 2) & (F.col("cnt") <= small))
+    # a line equal to an earlier one adds nothing to it: it goes from both sides
+    apart = lead.where("key >= 0").join(F.broadcast(equal) if equal.count() <= SENT else equal, ["xd", "xl"], "left_anti")
+    few = apart.where((F.col("cnt") > 2) & (F.col("cnt") <= small))
     rest = scratch.keep("rest", earlier(few, few, least).join(gone, ["xd", "xl"], "left_anti").distinct().join(pairs, ["xd", "xl", "yd", "yl"], "left_anti"))
-    gone = scratch.keep("gone2", gone.union(verified(rest, lines, least, scratch)).distinct())
     del few
     scratch.let_go()
+    gone = scratch.keep("gone2", gone.union(verified(rest, lines, least, scratch)).distinct())
+    scratch.let_go()
     # keys of many lines: what is unmatched meets all earlier lines
-    many = lead.where((F.col("key") >= 0) & (F.col("cnt") > small))
+    many = apart.where(F.col("cnt") > small)
     more = scratch.keep("more", earlier(many.join(gone, ["xd", "xl"], "left_anti"), many, least).distinct().join(pairs.union(rest), ["xd", "xl", "yd", "yl"], "left_anti"))
+    del many, apart
+    scratch.drop("lead")
+    scratch.let_go()
     gone = scratch.keep("removed", gone.union(verified(more, lines, least, scratch)).distinct())
-    scratch.drop("lead", "pairs", "rest", "more")
+    scratch.drop("pairs", "rest", "more")
+    scratch.let_go()
     return gone.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"))
 
 
