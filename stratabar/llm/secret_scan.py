@@ -9,7 +9,8 @@ hex runs) are always reported; literals of the method are added where no
 plain span covers them.
 
 Defined results: a null text counts as empty; an empty text has no spans; a
-text of any length is scanned whole; repeated rows are scanned alike; other
+text of any length is scanned whole, as are names, blanks and literals of any
+length in it; repeated rows are scanned alike; other
 columns pass through ``scan`` untouched unless they clash with its own output
 names, which then win.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +31,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-# name, operator, value; the value is quoted, or bare up to white space or a delimiter
+# name, operator, value; the value is quoted, or bare up to white space or a delimiter; no part has a bound, the repeats are possessive
 PAIR = re.compile(
-    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]{0,79})["']?[\x20\t]{0,8}(?:=>|:=|=|:)[\x20\t]{0,8}(?:"([^"\n]{1,400})"|'([^'\n]{1,400})'|([^\s"',;(){}\[\]<>]{1,400}))""",
+    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?:=>|:=|=|:)[\x20\t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"',;(){}\[\]<>]++))""",
     re.A,
 )
 # Sensitive parts of names and their weight.
@@ -40,7 +42,7 @@ SENSITIVE = {
     "credentials": 2.5, "private": 1.5, "auth": 1.5, "access": 1.0, "bearer": 2.5, "key": 1.5, "api": 1.0, "signing": 1.5, "encryption": 1.5,
 }
 HARMLESS = {"public", "id", "name", "path", "file", "url", "size", "count", "length", "type", "hint"}
-PLACEHOLDER = re.compile(r"\$\{|\{\{|<[^>]*>|%\(|\*{3}|(?i:xxxx|changeme|example|placeholder|your[_-]|dummy|redacted|null|none|true|false)")
+PLACEHOLDER = re.compile(r"\$\{|\{\{|<[^<>]*+>|%\(|\*{3}|(?i:xxxx|changeme|example|placeholder|your[_-]|dummy|redacted|null|none|true|false)")
 
 
 def name_parts(name: str) -> list[str]:
@@ -57,7 +59,7 @@ def literal_score(value: str) -> float:
     if len(value) < 6 or PLACEHOLDER.search(value):
         return -9.0
     n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in (value.count(x) for x in set(value)))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(any(f(x) for x in value) for f in (str.islower, str.isupper, str.isdigit))
     return entropy - 2.5 + 0.7 * classes + (0.5 if n >= 16 else 0.0) - (2.0 if " " in value else 0.0)
 

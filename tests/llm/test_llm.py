@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, and on awkward tables."""
 
+import base64
 import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -401,6 +403,22 @@ def test_secrets_lexing():
     assert loop["n_literal"] == 0
 
 
+def test_secrets_of_any_length():
+    part = hashlib.sha512(b"x").digest() + hashlib.sha512(b"y").digest()
+    key = (base64.b64encode(part * 10).decode() * 2)[:1600]
+    name = "very_" * 30 + "private_key"
+    for text in (f'private_key = "{key}"', f"private_key = '{key}'", f"signing_key: {key[:900]}", f"credential{' ' * 12}={' ' * 12}{key[:40]}", f"{name} := {key[:40]}", f'auth_bearer\t\t=> "{key}"\n'):
+        value = re.search(r"[A-Za-z0-9+/=]{40,}", text)
+        assert secret_scan.scan_text(text)["spans"] == f"literal:{value.start()}:{value.end()}", text[:60]
+    copied = secret_scan.scan_text(f'base = "{key}"\nclient_private_key = base')
+    assert copied["values"] == [key]
+    n = 200_000
+    for text in ("a" * n, "a" + " " * n, "a=" * n, 'a="' * n, "a='x" * n, "private_key=" + " " * n, 'private_key="' + "<" * n + '"', 'private_key="' + "".join(map(chr, range(256, 50_000))) + '"'):
+        start = time.process_time()
+        secret_scan.scan_text(text)
+        assert time.process_time() - start < 5
+
+
 def test_secrets_odd(odd, empty):
     assert secret_scan.scan(odd, keep=["doc_id"]).count() == 12 and secret_scan.scan(empty).count() == 0
     assert "score" in secret_scan.scan(odd).columns
