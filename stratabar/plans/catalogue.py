@@ -575,7 +575,7 @@ def factored_vs_flat(spark, sf_dir):
 
 @query()
 def run_recovery(spark, sf_dir):
-    return recovery.run(spark, ["ma_cross", "return_sign", "ewma_slope", "always_range", "hmm_gaussian", "cusum", "bocpd"], seeds=4, n=1500)
+    return recovery.run(spark, walkforward.methods())
 
 
 # -- streams replayed as batches ----------------------------------------------------

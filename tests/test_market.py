@@ -1,6 +1,7 @@
 """Behaviour of features, estimators, engine, panel, scores and re-tests."""
 
 import datetime as dt
+import inspect
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratabar.functions import calendar, features, numerics
 from stratabar.operators import audit, chains, decision, factored, online, panel, recovery, redundancy, report, retest, rules, walkforward
-from stratabar.plans import cli
+from stratabar.plans import catalogue, cli
 from stratabar.sources import bars, config, registry, simulate
 
 FAST = ["ma_cross", "return_sign", "ewma_slope", "always_range", "hmm_gaussian", "cusum", "bocpd", "kalman_trend", "ms_regression"]
@@ -298,6 +299,13 @@ def test_perfect_states_are_recovered(spark, sims):
     assert abs(z["ari"]) < 1e-9 and z["detection_rate"] == 0
 
 
+def test_recovery_is_registered_whole(spark, monkeypatch):
+    run = inspect.signature(recovery.run)
+    monkeypatch.setattr(recovery, "run", lambda *a, **k: (bound := run.bind(*a, **k)).apply_defaults() or bound.arguments)
+    got = catalogue.QUERIES["run_recovery"](spark, "")
+    assert (got["seeds"], got["n"], got["methods"]) == (8, 2500, walkforward.methods()) and set(FAST) <= set(got["methods"])
+
+
 def test_targets_and_calibration(spark, sims, simfeats):
     t = decision.targets(simfeats).toPandas()
     assert set(t["direction"].dropna()) == {0.0, 1.0} and t.groupby("symbol")["direction"].apply(lambda s: s.isna().sum()).min() >= 5
