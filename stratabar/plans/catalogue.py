@@ -221,6 +221,12 @@ def absorption_2sym(spark, sf_dir):
     return neat(panel.absorption_ratio(panel.returns(two)), "absorption")
 
 
+@query()
+def absorption_ratio(spark, sf_dir):
+    """Over all symbols; ``absorption_2sym`` is its case that SQL can express."""
+    return neat(panel.absorption_ratio(panel.returns(daily(spark, sf_dir))), "absorption")
+
+
 @query()
 def cross_asset(spark, sf_dir):
     return neat(panel.cross_asset_features(panel.returns(daily(spark, sf_dir))), "avg_corr dispersion absorption breadth")

@@ -273,6 +273,36 @@ def test_absorption_of_equal_and_independent_series(spark):
     assert one.isna().sum() == 251 and np.allclose(one.dropna(), 1) and half.dropna().max() < 0.65
 
 
+def brute_absorption(rets, window=252):
+    """Squared singular values of each date's standardised window of complete rows."""
+    wide = rets.toPandas().pivot(index="date", columns="symbol", values="ret").sort_index().astype(float)
+    out = pd.Series(np.nan, index=wide.index)
+    for t in range(len(wide)):
+        part = wide.iloc[max(0, t - window + 1) : t + 1].dropna()
+        if len(part) >= window and len(wide.columns) > 1:
+            v = np.linalg.svd(((part - part.mean()) / part.std()).to_numpy(), compute_uv=False) ** 2
+            out.iloc[t] = v[0] / v.sum()
+    return out
+
+
+def test_absorption_of_all_symbols_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rets = panel.returns(catalogue.daily(spark, sf))
+    assert rets.select("symbol").distinct().count() == 6
+    got = catalogue.QUERIES["absorption_ratio"](spark, sf).toPandas().set_index("date")["absorption"].astype(float).sort_index()
+    want = brute_absorption(rets)
+    assert list(got.index) == list(want.index) and want.notna().sum() > 1000 and np.allclose(got, want, atol=1e-7, equal_nan=True)
+
+
+def test_absorption_of_two_symbols_is_closed_form(spark):
+    rng = np.random.default_rng(1)
+    days = pd.bdate_range("2020-01-01", periods=300).date
+    x = rng.normal(size=(300, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]])
+    rets = spark.createDataFrame([(s, d, float(v)) for i, s in enumerate("AB") for d, v in zip(days, x[:, i], strict=True)], "symbol string, date date, ret double")
+    got = panel.absorption_ratio(rets).orderBy("date").toPandas()["absorption"].astype(float).to_numpy()
+    assert np.allclose(got[251:], [(1 + abs(np.corrcoef(x[t - 251 : t + 1].T)[0, 1])) / 2 for t in range(251, 300)])
+
+
 # -- decision, recovery, redundancy, retests ------------------------------------------
 @pytest.fixture(scope="module")
 def sims(spark):
