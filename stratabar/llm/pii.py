@@ -2,12 +2,17 @@
 
 Four plain kinds (email, ip, card, phone) are found by patterns with checks.
 From them the method learns: every token that could be an identifier (a word
-with a digit or an at sign) stands in a context, the word before it or the word
+with a digit or an at sign) and every run of such tokens (an identifier written
+in groups, of capitals too) stands in a context, the word before it or the word
 after it. Plain finds are the seeds; contexts are patterns, tokens instances.
 Round by round a pattern is scored by the share of trusted instances among the
 distinct instances it extracts (times the logarithm of their number, as in
 Riloff and Jones 1999), and an instance is trusted once patterns of high
-confidence extract it. Instances that end up trusted are added as spans of
+confidence extract it and it has an at sign, six digits, or a shape (digits
+and letters) that occurs, but for a fifth, in such patterns only. Words with
+neither digit nor at sign are extracted at the end, by patterns that are as
+confident over all the words they extract; they teach no further pattern.
+Instances that end up trusted are added as spans of
 kind ``context``; plain spans always stay.
 
 DataFrame operations only; the texts are read once, and what the rounds join
@@ -36,9 +41,12 @@ PATTERNS = {
 }
 #: What a text must hold for its pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+BLANKS = "\t\n\x0b\x0c\r"
 CANDIDATE = r"(?<![^\x20])[^\x200-9@]*+[0-9@][^\x20]*+"
 #: Marks around a candidate that are not part of it.
 OPENING, CLOSING = "([{<\"'", ".,;:!?)]}>\"'"
+#: Neighbouring candidates one blank apart, with groups of capitals between them: an identifier written in groups.
+RUN = r"(?<![^\x20])[^\x200-9@]*+[0-9@][^\x20]*+(?:\x20(?:[^\x200-9@]*+[0-9@][^\x20]*+|[A-Z]++(?=\x20[^\x200-9@]*+[0-9@])))++"
 ROUNDS = 3
 CONFIDENT = 0.8
 SUPPORT = 5
@@ -85,43 +93,100 @@ def matches(text: Column, pattern: str, keep) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(rid, doc_id, email, ip, card, phone, cand): arrays of matches; one narrow pass."""
+    """(rid, doc_id, email, ip, card, phone, cand, run, runs): arrays of matches, and of the runs' places alone; one narrow pass."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), t.alias("t"))
     none = F.array().cast(MATCH)
     some = F.col("t").rlike("[0-9@]")
     hint = lambda kind: some & F.contains("t", F.lit(HINTS[kind])) if HINTS[kind] else some
-    spaced = F.translate("t", "\t\n\x0b\x0c\r", "     ")
+    spaced = F.translate("t", BLANKS, "     ")
     found = [F.when(hint(k), matches(F.col("t"), PATTERNS[k], lambda x, k=k: passes(k, x))).otherwise(none).alias(k) for k in KINDS]
-    return base.select("rid", "doc_id", *found, F.when(some, matches(spaced, CANDIDATE, lambda x: F.lit(True))).otherwise(none).alias("cand"))
+    near = [F.when(some, matches(spaced, p, lambda x: F.lit(True))).otherwise(none).alias(k) for k, p in (("cand", CANDIDATE), ("run", RUN))]
+    out = base.select("rid", "doc_id", *found, *near)
+    return out.withColumn("runs", F.transform("run", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))))
+
+
+def bare(x: Column) -> Column:
+    return F.rtrim(F.ltrim(x, F.lit(OPENING)), F.lit(CLOSING))
 
 
 def candidates(scanned: DataFrame) -> DataFrame:
-    """(rid, s, e, instance, seed, b, a) of every candidate, bare of the marks around it."""
+    """(rid, s, e, instance, run, part, seed, b, a) of every candidate, bare of the marks around it; ``part`` of a run or not."""
     every = F.concat(*(F.transform(k, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))) for k in KINDS))
-    c = scanned.select("rid", every.alias("plain"), F.explode("cand").alias("c"))
-    bare = F.ltrim("c.x", F.lit(OPENING))
-    c = c.select("rid", "plain", (F.col("c.e") - F.length(bare)).alias("s"), F.rtrim(bare, F.lit(CLOSING)).alias("x"), F.lower("c.b").alias("b"), F.lower("c.a").alias("a"))
+    marked = lambda k, run: F.transform(k, lambda m: F.struct(m.alias("m"), run.alias("run")))
+    both = F.concat(marked("cand", F.lit(False)), marked("run", F.lit(True)))
+    c = scanned.select("rid", every.alias("plain"), "runs", F.explode(both).alias("x")).select("rid", "plain", "runs", F.col("x.m").alias("c"), "x.run")
+    opened = F.ltrim("c.x", F.lit(OPENING))
+    c = c.select("rid", "plain", "runs", "run", (F.col("c.e") - F.length(opened)).alias("s"), bare(F.col("c.x")).alias("x"), F.lower("c.b").alias("b"), F.lower("c.a").alias("a"))
     c = c.where("x <> ''").withColumn("e", F.col("s") + F.length("x"))
-    return c.select("rid", "s", "e", F.lower("x").alias("instance"), F.exists("plain", lambda m: (m["s"] < F.col("e")) & (F.col("s") < m["e"])).alias("seed"), "b", "a")
+    meets = lambda spans: F.exists(spans, lambda m: (m["s"] < F.col("e")) & (F.col("s") < m["e"]))
+    return c.select("rid", "s", "e", F.lower("x").alias("instance"), "run", (~F.col("run") & meets("runs")).alias("part"), meets("plain").alias("seed"), "b", "a")
+
 
+def shape(instance: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(instance, "[0-9]", "9"), r"\p{L}", "a")
 
-def bootstrap(spark: SparkSession, cands: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame:
-    """(instance, trust) of the instances that confident patterns extract, seeds left out."""
+
+def bootstrap(spark: SparkSession, cands: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+    """(instance, trust) of the instances that confident patterns extract, seeds left out; (pattern, t) of the patterns of single tokens that are confident in the end."""
     pattern = F.explode(F.array(F.concat(F.lit("L "), "b"), F.concat(F.lit("R "), "a")))
-    edges = cands.where("b <> '' or a <> ''").select(pattern.alias("pattern"), "instance", "seed").where("length(pattern) > 2")
-    edges = scratch.keep("edges", edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")))
-    # an identifier has an at sign or six digits
-    shaped = F.contains("instance", F.lit("@")) | (F.length(digits(F.col("instance"))) >= 6)
+    edges = cands.where("b <> '' or a <> ''").select(pattern.alias("pattern"), "instance", "run", "part", "seed").where("length(pattern) > 2")
+    edges = scratch.keep("edges", edges.groupBy("pattern", "instance", "run").agg(F.max("seed").alias("seed"), F.max("part").alias("part"), F.count("*").alias("n")))
+    # an identifier by its form alone; others need a shape that is met in confident patterns only
+    formed = F.contains("instance", F.lit("@")) | (F.length(digits(F.col("instance"))) >= 6)
+    shapes = scratch.keep("shapes", edges.where(~formed).groupBy("instance").agg(F.max("part").alias("part")).where("not part").select("instance", shape(F.col("instance")).alias("shape")))
+    sizes = scratch.keep("sizes", shapes.groupBy("shape").agg(F.count("*").alias("size")))
     trusted = scratch.keep("trusted", edges.where("seed").groupBy("instance").agg(F.lit(1.0).alias("trust"), F.max("seed").alias("seed")))
-    for _ in range(rounds):
+
+    def confidence() -> DataFrame:
         known = edges.join(trusted.select("instance", "trust"), "instance", "left")
-        scored = known.groupBy("pattern").agg(F.count("*").alias("k"), F.sum(F.coalesce("trust", F.lit(0.0))).alias("t"), F.count("trust").alias("c"))
-        good = scored.where((F.col("c") >= support) & (F.col("t") / F.col("k") >= confident)).select("pattern", (F.col("t") / F.col("k")).alias("conf"))
-        reached = edges.where(shaped).join(good, "pattern").groupBy("instance").agg(F.max("conf").alias("trust"), F.max("seed").alias("seed"))
-        both = trusted.union(reached.select("instance", "trust", "seed")).groupBy("instance").agg(F.max("trust").alias("trust"), F.max("seed").alias("seed"))
+        scored = known.groupBy("pattern", "run").agg(F.count("*").alias("k"), F.sum(F.coalesce("trust", F.lit(0.0))).alias("t"), F.count("trust").alias("c"))
+        return scored.where((F.col("c") >= support) & (F.col("t") / F.col("k") >= confident)).select("pattern", F.col("run").alias("of_runs"), "t", (F.col("t") / F.col("k")).alias("conf"))
+
+    for _ in range(rounds):
+        # a pattern learned from single tokens extracts runs too, one learned from runs no single tokens
+        good = confidence()
+        reached = edges.join(good, "pattern").where("run or not of_runs").groupBy("instance").agg(F.max("conf").alias("trust"), F.max("seed").alias("seed"))
+        reached = scratch.keep("reached", reached)
+        of = reached.join(shapes.select("instance", "shape"), "instance")
+        learned = of.groupBy("shape").agg(F.count("*").alias("met")).join(sizes, "shape").where(F.col("met") / F.col("size") >= confident).select("shape")
+        new = reached.where(formed).union(of.join(learned, "shape").select("instance", "trust", "seed"))
+        both = trusted.union(new).groupBy("instance").agg(F.max("trust").alias("trust"), F.max("seed").alias("seed"))
         trusted = scratch.keep("trusted", both)
-    return trusted.where("not seed").select("instance", "trust")
+    ends = scratch.keep("ends", confidence().where("not of_runs").select("pattern", "t"))
+    return trusted.where("not seed").select("instance", "trust"), ends
+
+
+def tokens(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(rid, ts): the texts' pieces between blanks, some of them empty."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), t.alias("t"))
+    return base.select("rid", F.split(F.translate("t", BLANKS, "     "), " ").alias("ts"))
+
+
+def plain_words(docs: DataFrame, ends: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", confident: float = CONFIDENT) -> DataFrame:
+    """(rid, s, e) of words with neither digit nor at sign that confident patterns extract.
+
+    Here a pattern is scored over all words it extracts, not those with digits
+    only, and a word must stand in such patterns in most of its places.
+    """
+    words = tokens(docs, text, key).select(F.filter("ts", lambda x: x != "").alias("ws"))
+    three = F.transform("ws", lambda x, i: F.struct(F.lower(bare(x)).alias("instance"), F.lower(F.get("ws", i - 1)).alias("b"), F.lower(F.get("ws", i + 1)).alias("a")))
+    near = words.select(F.explode(three).alias("w")).select("w.*").where("instance <> ''")
+    word = ~F.col("instance").rlike("[0-9@]")
+    sides = near.select("instance", F.explode(F.array(F.concat(F.lit("L "), "b"), F.concat(F.lit("R "), "a"))).alias("pattern")).join(ends.select("pattern"), "pattern")
+    edges = scratch.keep("word-edges", sides.groupBy("pattern", "instance").agg(F.count("*").alias("n")))
+    plain = edges.where(word).groupBy("pattern").agg(F.count("*").alias("k"))
+    single = edges.where(~word).groupBy("pattern").agg(F.count("*").alias("d"))
+    good = ends.join(plain, "pattern").join(single, "pattern").where(F.col("t") / (F.col("k") + F.greatest("d", "t")) >= confident).select("pattern")
+    reached = scratch.keep("words", edges.where(word).join(good, "pattern").groupBy("instance").agg(F.max("n").alias("n")))
+    if reached.isEmpty():
+        return docs.sparkSession.createDataFrame([], "rid long, s int, e int")
+    often = near.select("instance").join(reached, "instance").groupBy("instance").agg(F.count("*").alias("all"), F.first("n").alias("n"))
+    kept = scratch.keep("kept", often.where(F.col("n") / F.col("all") >= confident).select("instance"))
+    pieces = tokens(docs, text, key).select("rid", "ts", F.posexplode("ts").alias("i", "x")).where("x <> ''").withColumn("instance", F.lower(bare(F.col("x"))))
+    at = F.length(F.array_join(F.slice("ts", F.lit(1), F.col("i")), " ")) + (F.col("i") > 0).cast("int") + F.length("x") - F.length(F.ltrim("x", F.lit(OPENING)))
+    return pieces.join(kept, "instance").select("rid", at.alias("s"), (at + F.length("instance")).alias("e"))
 
 
 def find(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -129,9 +194,13 @@ def find(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "d
     scratch = Scratch(spark, "pii")
     scanned = scratch.keep("scanned", scan(docs, text, key))
     cands = scratch.keep("cands", candidates(scanned))
-    new = bootstrap(spark, cands, scratch)
-    added = cands.where("not seed").join(new, "instance").select("rid", F.struct("s", "e").alias("m"))
+    new, ends = bootstrap(spark, cands, scratch)
+    added = cands.where("not seed").join(new, "instance").select("rid", "s", "e")
+    added = added.union(plain_words(docs, ends, scratch, text, key)).select("rid", F.struct("s", "e").alias("m"))
     added = added.groupBy("rid").agg(F.sort_array(F.collect_set("m")).alias("context"))  # at most a document's spans
+    # a span inside another, as a group of a run is, does not count by itself
+    inside = lambda m, o: (o["s"] <= m["s"]) & (m["e"] <= o["e"]) & (o != m)
+    added = added.withColumn("context", F.filter("context", lambda m: ~F.exists("context", lambda o: inside(m, o))))
     show = lambda kind, col: F.transform(col, lambda m: F.concat_ws(":", F.lit(kind), m["s"], m["e"]))
     base = F.concat(*(show(k, F.col(k)) for k in KINDS))
     joined = scanned.join(added, "rid", "left")

@@ -162,6 +162,17 @@ def test_pii_context_is_learned(spark):
     assert out[100]["spans"] == "context:13:27" and out[101]["n_context"] == 0
 
 
+def test_pii_grouped_and_short_identifiers(spark):
+    told = {100: "GB29 NWBK 6016 1331 9268 19", 101: "0221 555 1234", 102: "AB12345", 103: "jsmithson", 104: "42"}
+    rows = [(i, f"text contact user{i}@mail.example.org ok") for i in range(40)] + [(k, f"text\ncontact  ({v}), ok" if k == 103 else f"text contact {v} ok") for k, v in told.items()]
+    rows += [(200 + i, f"page {10 + i} of the text") for i in range(30)] + [(300, "other words 555 12 here, 0221 and 1234")]
+    out = {r["doc_id"]: r for r in pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, v in told.items():
+        at = dict(rows)[k].index(v)
+        assert out[k]["spans"] == ("" if k == 104 else f"context:{at}:{at + len(v)}"), (k, out[k])
+    assert not any(r["n_context"] for i, r in out.items() if i not in told)
+
+
 def test_pii_odd(spark, odd, empty):
     out = pii.find(spark, odd).collect()
     assert len(out) == 12
