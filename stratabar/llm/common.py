@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
+#: Lets Spark delete a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,28 +36,50 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.base = f"{shared_root(spark).rstrip('/')}/stratabar/{tag}-{uuid.uuid4().hex}"
-        self.paths: dict[str, str] = {}
+        self.paths: dict[str, list[str]] = {}
         self.made = 0
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` under ``name`` and return a frame that reads it again."""
+    def keep(self, name: str, df: DataFrame, **options: str) -> DataFrame:
+        """Write ``df`` under ``name`` and return a frame that reads it again; the shuffle files of the write go with it."""
         self.made += 1
         path = f"{self.base}/{name}-{self.made}"
-        df.write.parquet(path)
-        self.paths[name] = path
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
+        if not self.paths:
+            self._file(self.base, lambda fs, p: fs.deleteOnExit(p))
+        self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def let_go(self) -> None:
-        """Let Spark delete shuffle files of plans no longer held, now that their result is written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def _file(self, path: str, act) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        act(p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p)
 
     def drop(self, *names: str) -> None:
         """Delete tables no later read needs."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            for path in self.paths.pop(name, ()):
+                self._file(path, lambda fs, p: fs.delete(p, True))
+
+    def drop_but(self, *names: str) -> None:
+        """Delete all tables but those; what stays goes when the driver's JVM ends."""
+        self.drop(*(set(self.paths) - {*names}))
+
+
+def with_rid(docs: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """``docs`` with a long ``__rid`` that tells rows apart and is in the order of ``key``, nulls first.
+
+    It is the key itself where that is unique; else the rows are sorted,
+    numbered and written, so that a later read finds the same numbers.
+    """
+    k = F.col(key).cast("long")
+    n, some, each = docs.agg(F.count("*"), F.count(k), F.count_distinct(k)).first()
+    if n == some == each:
+        return docs.withColumn("__rid", k)
+    return scratch.keep("rows", docs.orderBy(k).withColumn("__rid", F.monotonically_increasing_id()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,28 +1,31 @@
 """Line dedup by an exact set-similarity join.
 
-A line is its distinct lower-cased words. A line is removed if an earlier line
-(by doc_id, then line number) is equal to it or has a Jaccard similarity of
-``LEAST`` or more with it; whether the earlier one was itself removed does not
-matter, so the result does not depend on any order of work. Lines without
-words stay.
-
+A line is its distinct lower-cased words, ``[^\\x20\\x09-\\x0D]+``. A line is
+removed if an earlier line (by doc_id, then line number) is equal to it or has
+a Jaccard similarity of ``LEAST`` or more with it; whether the earlier one was
+itself removed does not matter, so the result does not depend on any order of
+work. Lines without words stay.
+
+Equal lines, by their whole normal texts, collapse first: the earliest of each
+text stands for all, so a line that a third of all documents hold is one row
+from then on. Each remaining line is a sorted set of word hashes of 48 bits.
 Words are ordered by rarity, from counts of all words in hash buckets (a table
-of fixed size). Each line puts its rarest words, as many as the prefix filter
-needs, into an inverted index, and one key for the whole line, which settles
-equal lines. Two lines meet where they share a key, their sizes allow the
-similarity (length filter) and so do the words left after the shared one
-(positional filter) and signatures of 64 bits. Candidates are verified on the words of whole lines.
-
-A key that at most ``SMALL`` lines share gives all its pairs. Under a key of
-more, every line first meets the earliest one alone, which settles large
-groups of near-equal lines in linear work; only lines still unmatched then
-meet all earlier lines of the key, in a join that Spark can split where keys
-are hot.
-
-DataFrame operations only. Defined results: a null text counts as empty;
-texts of any length are cut whole; ids should be unique, as documents with
-equal ids are one; other columns pass through ``clean``; an empty table gives
-an empty result.
+of fixed size). A line puts its rarest words into the join: as many as the
+prefix filter needs on one side, and fewer, as the longer prefix belongs to the
+longer line, on the other. Lines meet where they share such a word, their sizes
+allow the similarity (length filter), so do the words left after the shared one
+(positional filter), and parity signatures of 64 or 128 bits differ in no more
+bits than the sets may differ in words. Candidates are verified on whole sets.
+
+Before that join, lines that share two extreme word hashes meet the earliest
+line that has the same two, and those it settles no longer look for a partner:
+of a large group of near-equal lines a few still do, in place of all pairs.
+
+DataFrame operations only. Defined results: a null text counts as empty; texts
+of any length are cut whole; rows are told apart by a row id, so repeated and
+null doc_ids are rows of their own, null before all others and rows of equal
+ids in any one order; other columns pass through ``clean``; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,165 +33,190 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import Scratch
+from stratabar.llm.common import Scratch, with_rid
 
 LEAST = 0.8
-BUCKETS = 1 << 16
-SMALL = 128
-#: Most line places that are broadcast, 16 bytes each.
+#: Buckets of the rarity table, a power of two.
+BUCKETS = 1 << 18
+#: Bits of a word's hash.
+BITS = 48
+#: Lines of more words have signatures of 128 bits.
+SHORT = 76
+#: Most line ids that are broadcast, 8 bytes each.
 SENT = 1_000_000
+#: Shares of the keys that are joined one after another, so that shuffles on disk stay small.
+PASSES = 2
+#: Pairs of places in a line's sorted hashes by which it meets the earliest like line.
+EXTREMES = ((1, -1), (2, -2), (1, 2), (-1, -2))
 
 
-def norm(line: Column) -> Column:
-    return F.trim(F.replace(F.replace(F.lower(line), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" ")))
+def normal(text: Column) -> Column:
+    """Lower-cased, with spaces for other white space within lines."""
+    return F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")).otherwise(F.lower(text))
 
 
-def split_words(line: Column) -> Column:
-    """Words between spaces, tabs or carriage returns, lower-cased; neighbouring spaces leave empty words."""
-    return F.split(norm(line), " ")
+def lines_of(rows: DataFrame, text: str) -> DataFrame:
+    """(__rid, line, t): the normal text of every line with a word."""
+    texts = rows.select("__rid", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).select("__rid", normal(F.col("t")).alias("t"))
+    return texts.select("__rid", F.posexplode(F.split("t", "\n", -1)).alias("line", "t")).withColumn("t", F.trim("t")).where("t <> ''")
 
 
-def words_of(line: Column) -> Column:
-    return F.array_distinct(split_words(line))
+def word_hash(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << BITS) - 1))
 
 
-def lines_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, line, raw) of every line of every whole text."""
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)).alias("line", "raw"))
+def bit(k: Column) -> Column:
+    """The signature bit of a word's hash."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 32).bitwiseAND(F.lit(63)).cast("int"))
 
 
-def ranks(lines: DataFrame) -> Column:
-    """Rarity ranks (eight a doubling of the count) of BUCKETS hash buckets of words, as one constant array."""
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS))
-    counts = lines.select(F.explode(split_words(F.col("raw"))).alias("word")).groupBy(bucket.alias("b")).agg(F.floor(8 * F.log2(1 + F.count("*"))).alias("r"))
-    found = {r["b"]: r["r"] for r in counts.collect()}  # at most BUCKETS rows
-    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<bigint>")
+def parity(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
-def postings(lines: DataFrame, rank: Column, least: float) -> DataFrame:
-    """(key, np, sig, doc_id, line): the rarest words of each line, rarest first, and a negative key of the whole line.
+def sets(lines: DataFrame) -> DataFrame:
+    """(id, rid, line, n, h, s1, s2) of the earliest line of each text: its place, size, sorted hashes and signature.
 
-    A word's key is its rank over 54 bits of its hash, so keys sort by rarity;
-    np holds the line's number of words and the word's position, sig a bit for
-    each word's hash. Of a whole line's key, np is a second hash.
+    Two sets differ in as many words as the bits in which their signatures
+    differ, or more; s1 and s2 are the two halves of long lines, and s1 the
+    exclusive or of both for others.
+    """
+    place = F.col("__rid").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line")
+    first = lines.select("t", place.cast("decimal(38,0)").alias("place")).groupBy("t").agg(F.min("place").alias("place"))
+    line = F.pmod("place", F.lit(1 << 31).cast("decimal(38,0)"))
+    hashed = first.select("place", line.cast("int").alias("line"), F.array_distinct(F.transform(F.split("t", " "), word_hash)).alias("h"))
+    hashed = hashed.select(F.expr(f"(place - line) div {1 << 31}").alias("rid"), "line", F.sort_array(F.array_remove("h", word_hash(F.lit("")))).alias("h"))
+    folded = hashed.select("rid", "line", F.size("h").alias("n"), "h", parity(F.col("h")).alias("s"))
+    half = F.when(F.col("n") > SHORT, parity(F.filter("h", lambda k: F.shiftright(k, 38).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
+    split = folded.select("rid", "line", "n", "h", "s", half.alias("s2"))
+    return split.select(F.monotonically_increasing_id().alias("id"), "rid", "line", "n", "h", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2")
+
+
+def ranks(known: DataFrame) -> Column:
+    """Rarity ranks (four a doubling of the count) of BUCKETS hash buckets of words, as one constant array."""
+    bucket = F.explode("h").alias("k")
+    counts = known.select(bucket).groupBy(F.col("k").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.floor(4 * F.log2(1 + F.count("*"))).cast("int").alias("r"))
+    packed = counts.groupBy(F.shiftright("b", 9).alias("g")).agg(F.concat_ws(",", F.sort_array(F.collect_list(F.format_string("%06d:%d", "b", "r")))).alias("x"))
+    found = ["0"] * BUCKETS
+    for row in packed.collect():  # at most BUCKETS / 512 rows of 512 entries
+        for entry in row["x"].split(","):
+            b, r = entry.split(":")
+            found[int(b)] = r
+    return F.split(F.lit(",".join(found)), ",").cast("array<tinyint>")
+
+
+def need(total: Column, least: float) -> Column:
+    """Least number of words shared by two sets of that many together."""
+    return F.ceil(F.lit(least / (1 + least)) * total - F.lit(1e-6))
+
+
+def sized(xn: Column, yn: Column, least: float) -> Column:
+    return F.least(xn, yn) >= F.lit(least) * F.greatest(xn, yn) - F.lit(1e-6)
+
+
+def near(x: str, y: str, least: float) -> Column:
+    """Whether sizes and signatures allow the similarity."""
+    c = lambda s: F.col(f"{x}{s}"), lambda s: F.col(f"{y}{s}")
+    (a, b), total = c, c[0]("n") + c[1]("n")
+    folded = F.bit_count(a("s1").bitwiseXOR(a("s2")).bitwiseXOR(b("s1")).bitwiseXOR(b("s2")))
+    whole = F.bit_count(a("s1").bitwiseXOR(b("s1"))) + F.bit_count(a("s2").bitwiseXOR(b("s2")))
+    differ = F.when((a("n") <= SHORT) | (b("n") <= SHORT), folded).otherwise(whole)
+    return sized(a("n"), b("n"), least) & (differ <= total - 2 * need(total, least))
+
+
+def some(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on id; ids go to every executor while they are few, else both sides are shuffled."""
+    return table.join(F.broadcast(ids) if ids.count() <= SENT else ids, "id", how)
+
+
+def verified(pairs: DataFrame, known: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(id) of the later line of each pair (x, y) whose similarity holds, by whole sets of hashes."""
+    ids = scratch.keep("ids", pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
+    held = scratch.keep("held", some(known.select("id", "rid", "line", "n", "h"), ids, "left_semi"))
+    side = lambda p: held.select(F.col("id").alias(p), F.struct("rid", "line").alias(f"{p}at"), F.col("n").alias(f"{p}n"), F.col("h").alias(f"{p}h"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("c", F.size(F.array_intersect("xh", "yh")))
+    alike = both.where(F.col("c") >= F.lit(least) * (F.col("xn") + F.col("yn") - F.col("c")) - F.lit(1e-9))
+    return alike.select(F.when(F.col("xat") > F.col("yat"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
+
+
+def settled(known: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(id) of lines like the earliest line that has the same two extreme hashes."""
+    ends = [F.xxhash64(F.lit(i), F.try_element_at("h", F.lit(a)), F.try_element_at("h", F.lit(b))) for i, (a, b) in enumerate(EXTREMES)]
+    met = known.select("id", "rid", "line", "n", "s1", "s2", F.explode(F.array(*ends)).alias("k"))
+    first = met.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct("rid", "line", "id", "n", "s1", "s2")).alias("f")).where("c > 1")
+    first = scratch.keep("first", first.select("k", *(F.col(f"f.{c}").alias(f"f{c}") for c in ("id", "n", "s1", "s2"))))
+    x = met.select("k", F.col("id").alias("xid"), *(F.col(c).alias(f"x{c}") for c in ("n", "s1", "s2")))
+    pairs = x.join(first, "k").where((F.col("xid") != F.col("fid")) & near("x", "f", least))
+    pairs = scratch.keep("led", pairs.select(F.col("xid").alias("x"), F.col("fid").alias("y")).distinct())
+    return verified(pairs, known, least, scratch)
+
+
+def joined(prefixes: DataFrame, least: float, part: int) -> DataFrame:
+    """(x, y) of lines that share a word of their prefixes and pass all filters, for one share of the keys.
+
+    Of two open lines the longer one (the later id, if both are as long) brings its
+    whole prefix, and the shorter one the few words that suffice then; with a
+    settled line, both bring whole prefixes.
     """
-    bits = (1 << 54) - 1
-    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
-    keys = F.sort_array(F.array_distinct(F.transform(split_words(F.col("raw")), lambda w: F.shiftleft(F.get(rank, bucket(w)), 54).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(bits))))))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    keyed = lines.select("doc_id", "line", keys.alias("keys"), F.xxhash64(norm(F.col("raw"))).alias("h"), F.hash(norm(F.col("raw"))).alias("g"), F.length("raw").alias("len"))
-    prefix = F.slice("keys", 1, (F.size("keys") - F.ceil(F.size("keys") * F.lit(least) - F.lit(1e-9)) + 1).cast("int"))
-    cut = keyed.select("doc_id", "line", (-1 - F.shiftrightunsigned("h", 1)).alias("own"), pack(F.col("g"), F.col("len")).alias("second"), F.size("keys").alias("n"), prefix.alias("prefix"), F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k))).alias("sig"))
-    each = cut.select("doc_id", "line", "own", "second", "n", "sig", F.posexplode(F.concat(F.array("own"), "prefix")).alias("i", "key"))
-    return each.select("key", F.when(F.col("i") == 0, F.col("second")).otherwise(pack(F.col("n"), F.col("i") - 1)).alias("np"), "sig", "doc_id", "line")
-
-
-def pack(high: Column, low: Column) -> Column:
-    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
-
-
-def unpacked(np: str) -> tuple[Column, Column]:
-    return F.shiftright(np, 32), F.col(np).bitwiseAND(F.lit((1 << 32) - 1))
-
-
-def may_match(np: str, sig: str, other_np: str, other_sig: str, least: float) -> Column:
-    """Length, positional and signature filters; positions count from nought, and words beyond those shared differ in a signature bit each at most."""
-    (xn, xpos), (yn, ypos) = unpacked(np), unpacked(other_np)
-    need = F.ceil(F.lit(least / (1 + least)) * (xn + yn) - F.lit(1e-6))
-    sized = F.least(xn, yn) >= F.lit(least) * F.greatest(xn, yn) - F.lit(1e-6)
-    return sized & (F.least(xn - xpos, yn - ypos) >= need) & (F.bit_count(F.col(sig).bitwiseXOR(F.col(other_sig))) <= xn + yn - 2 * need)
-
-
-def verified(pairs: DataFrame, lines: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(xd, xl) of pairs whose similarity holds, by the words of both whole lines."""
-    need = scratch.keep("need", pairs.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line")).union(pairs.select("yd", "yl")).distinct())
-    # the lines' places, 16 bytes each, go to every executor while they are few; else the texts are shuffled
-    few = need.count() <= SENT
-    some = lines.join(F.broadcast(need) if few else need, ["doc_id", "line"], "left_semi")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    part = lambda j: F.aggregate(F.filter("h", lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(3)) == j), F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
-    hashed = some.withColumn("h", F.array_distinct(F.transform(split_words(F.col("raw")), lambda w: F.xxhash64(w))))
-    texts = scratch.keep("texts", hashed.select("doc_id", "line", "raw", "h", F.size("h").alias("n"), *(part(j).alias(f"s{j}") for j in range(4))))
-    # signatures of 256 bits first, as 64 are full on long lines and texts are heavy to move
-    signs = ["n", "s0", "s1", "s2", "s3"]
-    side = lambda p, cols: texts.select(F.col("doc_id").alias(f"{p}d"), F.col("line").alias(f"{p}l"), *(F.col(c).alias(f"{p}{c}") for c in cols))
-    signed = pairs.join(side("x", signs), ["xd", "xl"]).join(side("y", signs), ["yd", "yl"])
-    apart = F.lit(0)
-    for j in range(4):
-        apart = apart + F.bit_count(F.col(f"xs{j}").bitwiseXOR(F.col(f"ys{j}")))
-    total = F.col("xn") + F.col("yn")
-    likely = signed.where(apart <= total - 2 * F.ceil(F.lit(least / (1 + least)) * total - F.lit(1e-6))).select("xd", "xl", "yd", "yl")
-    likely = scratch.keep("likely", likely)
-    scratch.let_go()
-    both = likely.join(side("x", ["raw", "h"]).withColumnRenamed("xraw", "xr"), ["xd", "xl"]).join(side("y", ["raw", "h"]).withColumnRenamed("yraw", "yr"), ["yd", "yl"])
-    # by the words' hashes, and what passes by the words themselves; bound to lambda variables, so that no part is evaluated twice
-    words = F.array(F.struct(words_of(F.col("xr")).alias("x"), words_of(F.col("yr")).alias("y")))
-    sizes = lambda x, y: F.array(F.struct(F.size(F.array_intersect(x, y)).alias("c"), (F.size(x) + F.size(y)).alias("s")))
-    enough = lambda z: z["c"] >= F.lit(least) * (z["s"] - z["c"]) - F.lit(1e-9)
-    alike = F.when(F.exists(sizes(F.col("xh"), F.col("yh")), enough), F.exists(words, lambda w: F.exists(sizes(w["x"], w["y"]), enough))).otherwise(False)
-    return both.where(alike).select("xd", "xl").distinct()
-
-
-def removed(spark: SparkSession, docs: DataFrame, least: float = LEAST, small: int = SMALL, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, line) of every line to remove."""
+    few = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-6)) + 1
+    at = F.posexplode("p").alias("i", "key")
+    here = F.pmod(F.shiftright("key", 20), F.lit(PASSES)) == part
+    lone = (1 << BITS) - 1
+    cols = lambda p, *more: [F.col("key").bitwiseAND(F.lit(lone)).alias("key"), *(F.col(c).alias(f"{p}{c}") for c in ("id", "n", "i", "s1", "s2", *more))]
+    left = prefixes.where("open").select("id", "n", "s1", "s2", at).where(here).select(*cols("x"))
+    shorter = prefixes.withColumn("p", F.when(F.col("open"), F.slice("p", F.lit(1), few.cast("int"))).otherwise(F.col("p")))
+    right = shorter.select("id", "n", "s1", "s2", "open", at).where(here).select(*cols("y", "open"))
+    order = (F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("yid") < F.col("xid"))) | ~F.col("yopen")
+    rest = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= need(F.col("xn") + F.col("yn"), least)
+    return left.join(right, "key").where(order & rest & near("x", "y", least)).select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
+
+
+def kept_lines(spark: SparkSession, docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a row id ``__rid``, and (__rid, __kept): the numbers, from nought, of the lines with words that stay."""
     scratch = Scratch(spark, "lines")
-    lines = lines_of(docs, text, key).where(norm(F.col("raw")) != "")
-    index = postings(lines, ranks(lines), least)
-    place = lambda d, n: F.struct(F.col(d), F.col(n))
-    stats = index.groupBy("key").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "line", "np", "sig")).alias("f")).where("cnt > 1")
-    lead = index.join(stats, "key").where(place("doc_id", "line") > F.struct("f.doc_id", "f.line"))
-    lead = lead.select("key", "cnt", "np", "sig", F.col("doc_id").alias("xd"), F.col("line").alias("xl"), F.col("f.doc_id").alias("yd"), F.col("f.line").alias("yl"), F.col("f.np").alias("fnp"), F.col("f.sig").alias("fsig"))
-    fits = may_match("np", "sig", "fnp", "fsig", least)
-    # a key of two lines that the filters part has nothing more to give
-    lead = scratch.keep("lead", lead.where(F.when(F.col("key") < 0, F.col("np") == F.col("fnp")).otherwise((F.col("cnt") > 2) | fits)))
-    del index, stats
-    scratch.let_go()
-    equal = scratch.keep("equal", lead.where("key < 0").select("xd", "xl").distinct())
-    # each line against the earliest of its keys
-    scratch.let_go()
-    pairs = scratch.keep("pairs", lead.where((F.col("key") >= 0) & fits).select("xd", "xl", "yd", "yl").distinct().join(equal, ["xd", "xl"], "left_anti"))
-    gone = scratch.keep("gone", equal.union(verified(pairs, lines, least, scratch)).distinct())
-    # keys of few lines: the pairs that do not hold the first, of lines not settled yet
-    # a line equal to an earlier one adds nothing to it: it goes from both sides
-    apart = lead.where("key >= 0").join(F.broadcast(equal) if equal.count() <= SENT else equal, ["xd", "xl"], "left_anti")
-    few = apart.where((F.col("cnt") > 2) & (F.col("cnt") <= small))
-    rest = scratch.keep("rest", earlier(few, few, least).join(gone, ["xd", "xl"], "left_anti").distinct().join(pairs, ["xd", "xl", "yd", "yl"], "left_anti"))
-    del few
-    scratch.let_go()
-    gone = scratch.keep("gone2", gone.union(verified(rest, lines, least, scratch)).distinct())
-    scratch.let_go()
-    # keys of many lines: what is unmatched meets all earlier lines
-    many = apart.where(F.col("cnt") > small)
-    more = scratch.keep("more", earlier(many.join(gone, ["xd", "xl"], "left_anti"), many, least).distinct().join(pairs.union(rest), ["xd", "xl", "yd", "yl"], "left_anti"))
-    del many, apart
-    scratch.drop("lead")
-    scratch.let_go()
-    gone = scratch.keep("removed", gone.union(verified(more, lines, least, scratch)).distinct())
-    scratch.drop("pairs", "rest", "more")
-    scratch.let_go()
-    return gone.select(F.col("xd").alias("doc_id"), F.col("xl").alias("line"))
-
-
-def earlier(open_: DataFrame, every: DataFrame, least: float) -> DataFrame:
-    """(xd, xl, yd, yl): each open line with the lines of its key before it that pass the filters."""
-    x = open_.select("key", "np", "sig", "xd", "xl")
-    y = every.select("key", F.col("np").alias("fnp"), F.col("sig").alias("fsig"), F.col("xd").alias("yd"), F.col("xl").alias("yl"))
-    before = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
-    return x.join(y, "key").where(before & may_match("np", "sig", "fnp", "fsig", least)).select("xd", "xl", "yd", "yl")
-
-
-def digest(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    rows = with_rid(docs, key, scratch)
+    # sorted hashes: a dictionary gains nothing
+    known = scratch.keep("sets", sets(lines_of(rows, text)), compression="zstd", **{"parquet.enable.dictionary": "false"})
+    gone = scratch.keep("settled", settled(known, least, scratch))
+    rank = ranks(known)
+    ranked = F.sort_array(F.transform("h", lambda k: F.shiftleft(F.get(rank, k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), BITS).bitwiseOR(k)))
+    prefix = F.slice(ranked, F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-6)) + 1).cast("int"))
+    marked = gone.select("id", F.lit(False).alias("open"))
+    marked = known.join(F.broadcast(marked) if gone.count() <= SENT else marked, "id", "left")
+    prefixes = scratch.keep("prefixes", marked.select("id", "n", "s1", "s2", F.coalesce("open", F.lit(True)).alias("open"), prefix.alias("p")))
+    pairs = None
+    for part in range(PASSES):
+        found = scratch.keep("pairs", joined(prefixes, least, part))
+        pairs = found if pairs is None else pairs.union(found)
+    gone = scratch.keep("gone", gone.union(verified(pairs.distinct(), known, least, scratch)).distinct())
+    left = some(known.select("id", "rid", "line"), gone, "left_anti")
+    kept = scratch.keep("kept", left.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("line").alias("__kept")))  # at most a document's lines
+    scratch.drop_but("kept", "rows")
+    return rows, kept
+
+
+def numbers(text: str) -> Column:
+    """Numbers of the lines that have a word."""
+    parts = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x, i: F.when(F.length(F.trim(x, F.lit(" \t\x0b\x0c\r"))) > 0, i))
+    return F.array_compact(parts)
+
+
+def digest(rows: DataFrame, kept: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): removed holds the line numbers, from nought, comma-joined."""
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    per = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("g"))  # at most a document's lines
-    return sizes.join(per, "doc_id", "left").select("doc_id", "n_lines", F.when(F.col("g").isNull(), 0).otherwise(F.size("g")).cast("long").alias("n_removed"), F.coalesce(F.array_join("g", ","), F.lit("")).alias("removed"))
-
-
-def clean(docs: DataFrame, gone: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the removed lines; all columns stay."""
-    per = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
-    parts = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    # lists of line numbers go to every executor while they are few; else the texts are shuffled
-    joined = docs.join(F.broadcast(per) if gone.count() <= SENT else per, docs[key].cast("long") == per["__id"], "left")
-    return joined.select(*(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns))
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    sizes = rows.select("__rid", F.col(key).cast("long").alias("doc_id"), F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines"), numbers(text).alias("all"))
+    gone = F.array_except("all", F.coalesce("__kept", F.array().cast("array<int>")))
+    out = sizes.join(kept, "__rid", "left").select("doc_id", "n_lines", gone.alias("gone"))
+    return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
+
+
+def clean(rows: DataFrame, kept: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` without the removed lines and the row id; all other columns stay, a null text too."""
+    gone = F.array_except(numbers(text), F.coalesce("__kept", F.array().cast("array<int>")))
+    parts = F.split(F.col(text).cast("string"), "\n", -1)
+    # gone is in order, so a cursor over it would do; a map keeps the look-up constant in a document's lines
+    out = rows.join(kept, "__rid", "left").withColumn("__gone", gone)
+    flags = F.map_from_arrays(F.col("__gone"), F.array_repeat(F.lit(True), F.size("__gone")))
+    left = F.array_join(F.array_compact(F.transform(parts, lambda x, i: F.when(F.element_at(flags, i).isNull(), x))), "\n")
+    names = [c for c in rows.columns if c != "__rid"]
+    return out.select(*(F.when(F.size("__gone") > 0, left).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names))

@@ -47,8 +47,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return linededup.digest(docs, linededup.removed(spark, docs))
+    return linededup.digest(*linededup.kept_lines(spark, table(spark, sf_dir, "documents")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
