@@ -173,6 +173,29 @@ def test_pii_grouped_and_short_identifiers(spark):
     assert not any(r["n_context"] for i, r in out.items() if i not in told)
 
 
+def test_pii_takes_long_texts(spark):
+    n = 150_000
+    start = time.time()
+    got = pii.find(spark, spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n))), (2, "a@b.co " * n), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_email"] for r in got] == [0, n, 0] and got[1]["base"].endswith(f"email:{7 * n - 7}:{7 * n - 1}")
+    assert time.time() - start < 120
+
+
+def test_running_sums(spark):
+    for n in (0, 1, pii.PIECE, pii.PIECE + 1, 5 * pii.PIECE + 3):
+        want = np.cumsum(np.arange(n) % 7).tolist()
+        df = spark.createDataFrame([([i % 7 for i in range(n)],)], "x array<bigint>")
+        assert df.select(pii.running(F.col("x"))).first()[0] == want
+
+
+def test_pii_marks_runs_and_seeds(spark):
+    text = "id (GB29 NWBK 6016 1331) mail a1@b.co, 12 and x9"
+    scanned = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    got = {(r["s"], r["e"]): (r["instance"], r["run"], r["part"], r["seed"]) for r in pii.candidates(scanned).collect()}
+    assert got[4, 23] == ("gb29 nwbk 6016 1331", True, False, False) and got[4, 8][2] and not got[4, 8][1]
+    assert got[30, 37] == ("a1@b.co", False, got[30, 37][2], True) and got[46, 48] == ("x9", False, False, False)
+
+
 def test_pii_odd(spark, odd, empty):
     out = pii.find(spark, odd).collect()
     assert len(out) == 12
@@ -246,35 +269,62 @@ def test_top_k_against_brute_force(spark, vectors):
 
 # -- lines ----------------------------------------------------------------------
 def brute_lines(rows, least=0.8):
+    """Places (row, line) of what goes, by all pairs; rows in order of their ids, null first."""
     out, seen = set(), []
-    for i, t in sorted(rows):
-        for k, line in enumerate((t or "").split("\n")):
-            w = frozenset(line.lower().replace("\t", " ").replace("\r", " ").strip(" ").split(" "))
-            if w == {""}:
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] or 0, k))
+    for at in order:
+        for k, line in enumerate((rows[at][1] or "").split("\n")):
+            w = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line.lower()))
+            if not w:
                 continue
             if any(len(w & s) >= least * len(w | s) - 1e-9 for s in seen):
-                out.add((i, k))
+                out.add((at, k))
             seen.append(w)
     return out
 
 
+def removed_lines(digest):
+    return {(r["doc_id"], int(k)) for r in digest.collect() for k in r["removed"].split(",") if k}
+
+
 def test_lines_against_brute_force(spark, texts):
     rng = np.random.default_rng(3)
     base = [f"t{i}" for i in range(14)]
     near = [(10_000 + i, " ".join(base[:k] + [f"q{i}"] + base[k + 1 :])) for i, k in enumerate(rng.integers(0, 14, 60).tolist())]
     short = [(20_000 + i, " ".join(rng.choice(["a", "b", "c", "d", "e", "f"], 5).tolist())) for i in range(80)]
-    rows = [(i, t) for i, t in list(texts.items())[:60]] + near + short
-    got = linededup.removed(spark, spark.createDataFrame(rows, "doc_id long, text string"), small=4)
-    assert {(r[0], r[1]) for r in got.collect()} == brute_lines(rows)
+    wide = [f"w{i}" for i in range(240)]
+    long = [(30_000 + i, " ".join([*wide[: 200 + i], *(f"z{i}-{k}" for k in range(rng.integers(0, 60)))])) for i in range(30)]
+    white = [(40_000, "A\tb\x0bc\x0cd  e\r"), (40_001, "a b c d e\n \t \n\x0c"), (40_002, "\u00c4pfel \u00d6l"), (40_003, "\u00e4pfel \u00f6l")]
+    rows = [(i, t) for i, t in list(texts.items())[:60]] + near + short + long + white
+    got = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert removed_lines(got) == {(rows[at][0], k) for at, k in brute_lines(rows)}
+
+
+def test_lines_beyond_the_broadcast_and_without_rarity(spark, texts, monkeypatch):
+    rows = list(texts.items())[60:110]
+    want = {(rows[at][0], k) for at, k in brute_lines(rows)}
+    monkeypatch.setattr(linededup, "SENT", -1)
+    monkeypatch.setattr(linededup, "ranks", lambda known: F.array_repeat(F.lit(0).cast("tinyint"), linededup.BUCKETS))
+    got = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert want and removed_lines(got) == want
 
 
 def test_lines_odd(spark, odd, empty):
-    gone = linededup.removed(spark, odd.where("doc_id is not null"))
-    assert {(r[0], r[1]) for r in gone.collect()} == {(5, 0), (5, 1)}
-    cleaned = linededup.clean(odd, gone)
-    assert cleaned.columns == odd.columns and cleaned.count() == 12
-    assert {r["text"] for r in cleaned.where("doc_id = 5").collect()} == {""} and cleaned.where("doc_id = 1 and text is null").count() == 1
-    assert linededup.digest(empty, linededup.removed(spark, empty)).count() == 0
+    rows, kept = linededup.kept_lines(spark, odd)
+    cleaned = linededup.clean(rows, kept)
+    assert cleaned.columns == odd.columns and cleaned.count() == odd.count()
+    assert cleaned.where("doc_id = 1 and text is null").count() == 1
+    assert linededup.digest(*linededup.kept_lines(spark, empty)).count() == 0
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    rows = [(2, "one two three"), (2, "one two three\nfour five six"), (None, "four five six"), (None, None), (1, "seven"), (3, "SEVEN\n\n")]
+    found = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["removed"]) for r in found.collect()) in [
+        [("1", 1, ""), ("2", 1, first), ("2", 2, second), ("3", 3, "0"), ("None", 1, ""), ("None", 1, "")] for first, second in (("", "0,1"), ("0", "1"))
+    ]
+    texts = [r["text"] for r in linededup.clean(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"))).collect()]
+    assert sorted(x or "" for x in texts) == sorted(["one two three", "", "", "four five six", "seven", "\n"])
 
 
 # -- simhash --------------------------------------------------------------------
@@ -414,6 +464,46 @@ def test_secrets_lexing():
     assert loop["n_literal"] == 0
 
 
+@pytest.mark.parametrize("text, want", [
+    ('config: credential = "@"', "@"), ('credential: str = "@"', "@"), ('credential = first = "@"', "@"), ('{"credential": "@", "x": 1}', "@"), ("export CREDENTIAL=@", "@"),
+    ('credential = ("@1" \n   "@2")', '@1" \n   "@2'), ('credential = "@1" + "@2"', '@1" + "@2'), ('credential = "@1" \\\n "@2"', '@1" \\\n "@2'), ('credential = """@1\n@2"""', "@1\n@2"),
+    ('credential = "@\\"x"', '@\\"x'), ('credential = b"@"', "@"), ("credential = base + '@'", "@"), ("it's said: don't; credential = '@'", "@"), ("// credential = '@'", "@"), ("see https://a.b/c?credential=@", "@"),
+    ('colour = "@"', None), ('credential == "@"', None), ("credential = os.getenv('NAME')", None), ('credential = "${@}"', None),
+])
+def test_secrets_syntax(text, want):
+    text, want = (x and x.replace("@", "Zx81kQpL0mVt9") for x in (text, want))
+    assert secret_scan.scan_text(text)["values"] == ([want] if want else [])
+
+
+def test_secrets_propagate_as_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        names = [f"n{i}" for i in range(12)]
+        scores = dict(zip(names, rng.normal(size=12).tolist(), strict=True))
+        sources = {n: {names[j] for j in rng.integers(0, 12, rng.integers(0, 3))} for n in names}
+        into = {n: {t for t in names if n in sources[t]} for n in names}
+        for n, got in secret_scan.reached(scores, sources).items():
+            seen, todo = {n}, [n]
+            while todo:
+                new = into[todo.pop()] - seen
+                seen |= new
+                todo += new
+            assert got == max(scores[x] for x in seen)
+    spans, base = sorted((int(a), int(a + b)) for a, b in rng.integers(1, 60, (80, 2))), sorted((int(a), 0, int(a + b)) for a, b in rng.integers(1, 9, (6, 2)) * 7)
+    assert secret_scan.uncovered(spans, base) == [s for s in spans if not any(b[0] < s[1] and s[0] < b[2] for b in base)]
+
+
+def test_secrets_take_linear_time():
+    n = 200_000
+    chain = "\n".join(f"n{i} = n{i + 1}" for i in range(n)) + f'\nn{n} = "Zx81kQpL0mVt9"\nprivate_key = n0\n'
+    start = time.process_time()
+    assert secret_scan.scan_text(chain)["n_literal"] == 1
+    assert secret_scan.scan_text("password=abcdefgh\n" * n)["n_assign"] == n
+    for text in ("a=b+" * n, 'a="""' * n, "x=`" * n, "a=(' " * n, 'a="b" ' * n, "a='" + "\\'" * n, "a:b:" * n):
+        secret_scan.scan_text(text)
+    assert time.process_time() - start < 60
+
+
 def test_secrets_of_any_length():
     part = hashlib.sha512(b"x").digest() + hashlib.sha512(b"y").digest()
     key = (base64.b64encode(part * 10).decode() * 2)[:1600]
