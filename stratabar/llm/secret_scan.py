@@ -1,9 +1,11 @@
 """Secret scan by assignment-aware lexing.
 
-Source and configuration text is lexed into (name, literal) pairs: quoted,
-bare and identifier values behind ``=``, ``:``, ``:=``, ``=>`` and, inside one
-text, constants that other names are assigned from. Each literal is scored by
-how sensitive its target name is and how much it looks like key material.
+Source and configuration text is lexed into (name, literal) pairs: quoted
+values with escapes, over several lines too, joined by operators or side by
+side, bare values and identifiers behind ``=``, ``:``, ``:=``, ``=>``. Inside one
+text, constants propagate along names that are assigned from names, however
+long the chain. Each literal is scored by how sensitive its target name is, or
+a name it flows into, and how much it looks like key material.
 Three plain patterns (assignments to sensitive words, access-key ids, long
 hex runs) are always reported; literals of the method are added where no
 plain span covers them.
@@ -31,11 +33,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-# name, operator, value; the value is quoted, or bare up to white space or a delimiter; no part has a bound, the repeats are possessive
-PAIR = re.compile(
-    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?:=>|:=|=|:)[\x20\t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"',;(){}\[\]<>]++))""",
-    re.A,
-)
+# A name, quoted or not, and its operator; repeats are possessive and unbounded, so no text makes them slow.
+HEAD = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?:=>|:=|=(?!=)|:(?!:))[\x20\t]*+""", re.A)
+# A quoted term with escapes, over several lines if its marks are three or a backtick, else in one.
+QUOTED = re.compile(r'''(?:[rbuf@]{1,2}+(?=["']))?(?:"""((?:[^"\\]++|\\.|"(?!""))*+)"""|"((?:[^"\\\n]++|\\.)*+)"|''' + r"""'''((?:[^'\\]++|\\.|'(?!''))*+)'''|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\]++|\\.)*+)`)""", re.S | re.I)
+# A bare term ends before a sign of equality, but for those that fill it up at its end.
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>=]++(?:=++(?![^\s"'`,;(){}\[\]<>=]))?""")
+NAME = re.compile(r"[A-Za-z_][\w.-]*+", re.A)
+# A name that is itself assigned or given a type.
+CHAINED = re.compile(r"([A-Za-z_][\w.-]*+)[\x20\t]*+(?:=>|:=|=(?!=)|:(?!:))", re.A)
+# What joins the terms of one value: an operator with lines broken on either side, or blanks between quoted terms.
+JOIN = re.compile(r"\s*+(?:\+|\.\.|&)(?!=)(?:\s|\\)*+")
+SIDE_BY_SIDE = re.compile(r"""(?:[\x20\t]|\\\r?\n)*+(?=[rbuf@]{0,2}["'])""", re.I)
+IN_BRACKETS = re.compile(r"""\s*+(?=[rbuf@]{0,2}["'])""", re.I)
 # Sensitive parts of names and their weight.
 SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 2.5,
@@ -76,15 +86,83 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def value_at(text: str, at: int) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """(literals, bare terms, end) of the value that starts here: terms joined by an operator or, quoted, side by side.
+
+    Quoted terms that follow each other are one literal, from the first one's
+    contents to the last one's.
+    """
+    literals: list[tuple[str, int, int]] = []
+    bare: list[tuple[str, int, int]] = []
+    parts: list[str] = []
+    start = stop = end = at
+    between = SIDE_BY_SIDE
+    if text.startswith("(", at) and (m := IN_BRACKETS.match(text, at + 1)):
+        at, between = m.end(), IN_BRACKETS
+    while True:
+        if m := QUOTED.match(text, at):
+            if not parts:
+                start = m.start(m.lastindex)
+            parts.append(m[m.lastindex])
+            stop, end = m.end(m.lastindex), m.end()
+        elif m := CHAINED.match(text, at):
+            bare.append((m[1], m.start(), m.end(1)))
+            end = m.end(1)
+            break
+        elif m := BARE.match(text, at):
+            if parts:
+                literals.append(("".join(parts), start, stop))
+                parts = []
+            end = m.end()
+            if text.startswith(("(", "["), end) and NAME.fullmatch(m[0]):
+                break  # a call or an element, no literal
+            bare.append((m[0], m.start(), end))
+        else:
+            break
+        # a plus sign can be a part of a bare value; between bare values it needs a blank
+        j = JOIN.match(text, end) or (between.match(text, end) if parts else None)
+        if j is None or j.end() == end and not parts:
+            break
+        at = j.end()
+    if parts:
+        literals.append(("".join(parts), start, stop))
+    return literals, bare, end
+
+
 def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) of every assignment."""
+    """(name, literal, start, end, quoted) of every assignment, of each term of its value; one pass.
+
+    A name that is assigned from a name which is itself assigned, or given a
+    type, takes part in both pairs. Comments are read like code, as what is
+    commented out is as secret.
+    """
     out = []
-    for m in PAIR.finditer(text):
-        g = next(i for i in (2, 3, 4) if m[i] is not None)
-        out.append((m[1], m[g], m.start(g), m.end(g), g < 4))
+    at = 0
+    while m := HEAD.search(text, at):
+        literals, bare, end = value_at(text, m.end())
+        out += [(m[1], x, s, e, True) for x, s, e in literals if x]
+        out += [(m[1], x, s, e, False) for x, s, e in bare]
+        at = max(end, m.end())
+        if bare and bare[-1][2] == end:  # a = b = "c", a: str = "c", or a?b="c": go on with the last name of the term
+            while at > bare[-1][1] and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
+                at -= 1
+            at = max(at, m.end())
     return out
 
 
+def reached(scores: dict[str, float], sources: dict[str, set[str]]) -> dict[str, float]:
+    """Of each name the greatest score of the names it flows into; every name and copy is looked at once."""
+    best: dict[str, float] = {}
+    for name in sorted(scores, key=lambda n: -scores[n]):
+        todo = [name]
+        while todo:
+            n = todo.pop()
+            if n not in best:
+                best[n] = scores[name]
+                todo += sources.get(n, ())
+    return best
+
+
 def literal_spans(text: str, least: float = 3.5) -> list[tuple[int, int]]:
     """Literals whose target name, or a name they reach by propagation, is sensitive."""
     if "=" not in text and ":" not in text:
@@ -92,40 +170,37 @@ def literal_spans(text: str, least: float = 3.5) -> list[tuple[int, int]]:
     pairs = lex(text)
     if not pairs:
         return []
-    targets: dict[str, list[tuple[str, int, int]]] = {}
-    copies: dict[str, set[str]] = {}
-    for name, value, start, end, quoted in pairs:
-        if quoted or not re.fullmatch(r"[A-Za-z_][\w.-]*", value, re.A):
-            targets.setdefault(name, []).append((value, start, end))
-        else:
-            targets.setdefault(name, []).append((value, start, end))
-            copies.setdefault(value, set()).add(name)
-    # a name is as sensitive as the most sensitive name assigned from it
+    names = {name for name, *_ in pairs}
+    sources: dict[str, set[str]] = {}
+    for name, value, _, _, quoted in pairs:
+        if not quoted and NAME.fullmatch(value):
+            sources.setdefault(name, set()).add(value)
+    best = reached({n: name_score(n) for n in names}, sources)
     found = set()
-    memo: dict[str, float] = {}
-    for name, values in targets.items():
-        if name not in memo:
-            seen, todo, best = {name}, [name], name_score(name)
-            while todo:
-                for nxt in copies.get(todo.pop(), ()):
-                    if nxt not in seen:
-                        seen.add(nxt)
-                        todo.append(nxt)
-                        best = max(best, name_score(nxt))
-            memo[name] = best
-        if memo[name] < 2.0:
-            continue
-        for value, start, end in values:
-            if value not in targets and memo[name] + literal_score(value) >= least:
-                found.add((start, end))
+    for name, value, start, end, quoted in pairs:
+        if best[name] >= 2.0 and (quoted or value not in names) and best[name] + literal_score(value) >= least:
+            found.add((start, end))
     return sorted(found)
 
 
+def uncovered(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Those of sorted ``spans`` that no base span overlaps; one merge of both lists."""
+    out, k, far = [], 0, -1
+    for s, e in spans:
+        while k < len(base) and base[k][0] < e:
+            far = max(far, base[k][2])
+            k += 1
+        # base spans that start before a later literal's end may start behind this one's: only those before its end count
+        if far <= s:
+            out.append((s, e))
+    return out
+
+
 def scan_text(text: str | None) -> dict:
     """All spans of one text; ``spans`` entries are (kind, start, end)."""
     text = text or ""
     base = base_spans(text)
-    added = [(s, 3, e) for s, e in literal_spans(text) if not any(b[0] < e and s < b[2] for b in base)]
+    added = [(s, 3, e) for s, e in uncovered(literal_spans(text), base)]
     names = (*KINDS, "literal")
     show = lambda xs: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in xs)
     return {
