@@ -5,9 +5,9 @@ From them the method learns: every token that could be an identifier (a word
 with a digit or an at sign) and every run of such tokens (an identifier written
 in groups, of capitals too) stands in a context, the word before it or the word
 after it. Plain finds are the seeds; contexts are patterns, tokens instances.
-Round by round a pattern is scored by the share of trusted instances among the
-distinct instances it extracts (times the logarithm of their number, as in
-Riloff and Jones 1999), and an instance is trusted once patterns of high
+Round by round, until no instance is new, a pattern is scored by the share of
+trusted instances among the distinct instances it extracts, of which at least
+``SUPPORT`` must be trusted, and an instance is trusted once patterns of high
 confidence extract it and it has an at sign, six digits, or a shape (digits
 and letters) that occurs, but for a fifth, in such patterns only. Words with
 neither digit nor at sign are extracted at the end, by patterns that are as
@@ -26,7 +26,7 @@ matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratabar.llm.common import Scratch
@@ -47,9 +47,9 @@ CANDIDATE = r"(?<![^\x20])[^\x200-9@]*+[0-9@][^\x20]*+"
 OPENING, CLOSING = "([{<\"'", ".,;:!?)]}>\"'"
 #: Neighbouring candidates one blank apart, with groups of capitals between them: an identifier written in groups.
 RUN = r"(?<![^\x20])[^\x200-9@]*+[0-9@][^\x20]*+(?:\x20(?:[^\x200-9@]*+[0-9@][^\x20]*+|[A-Z]++(?=\x20[^\x200-9@]*+[0-9@])))++"
-ROUNDS = 3
 CONFIDENT = 0.8
 SUPPORT = 5
+PIECE = 256
 
 
 def digits(x: Column) -> Column:
@@ -76,24 +76,42 @@ def passes(kind: str, found: Column) -> Column:
 MATCH = "array<struct<s:int,e:int,x:string,b:string,a:string>>"
 
 
+def running(lengths: Column) -> Column:
+    """Running sums of an array of integers.
+
+    A fold copies what it has at every step, so it goes over pieces of ``PIECE``
+    entries and over the pieces' totals, in place of the whole array.
+    """
+    none = F.array().cast("array<bigint>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+    def add(acc, n):
+        at = acc["at"] + n
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(lengths) - 1) / PIECE).cast("int"), F.lit(0))), lambda k: F.aggregate(F.slice(lengths, k * PIECE + 1, PIECE), zero, add))
+    # bound to a variable, so that the pieces are worked out once
+    bound = lambda made: F.flatten(F.zip_with(made, F.aggregate(F.transform(made, lambda m: m["at"]), zero, add)["out"], lambda m, end: F.transform(m["out"], lambda x: x + end - m["at"])))
+    return F.when(F.size(lengths) > 0, F.get(F.transform(F.array(pieces), bound), F.lit(0))).otherwise(none)
+
+
 def matches(text: Column, pattern: str, keep) -> Column:
     """Array of (s, e, x, b, a): matches that ``keep`` passes, their places in code points, and the words around them."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.zip_with(found, gaps, lambda x, g: F.struct(x.alias("x"), g.alias("g")))
-    zipped = F.zip_with(zipped, F.slice(gaps, 2, 1 << 30), lambda m, h: F.struct(m["x"].alias("x"), m["g"].alias("g"), h.alias("h")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
 
-    def step(acc, m):
-        s = acc["at"] + F.length(m["g"])
-        e = s + F.length(m["x"])
-        one = F.struct(s.alias("s"), e.alias("e"), m["x"].alias("x"), F.substring_index(F.rtrim(m["g"]), " ", -1).alias("b"), F.substring_index(F.ltrim(m["h"]), " ", 1).alias("a"))
-        return F.when(m["x"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.when(keep(m["x"]), F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out")))
+    def placed(both):
+        f, g = both["f"], both["g"]
+        ends = running(F.zip_with(f, g, lambda x, y: F.length(y).cast("long") + F.coalesce(F.length(x), F.lit(0))))
+        # the gap after the last match has no match: it is filtered out
+        rows = F.zip_with(F.zip_with(f, g, lambda x, y: F.struct(x.alias("x"), y.alias("g"))), F.zip_with(F.slice(g, 2, 1 << 30), ends, lambda h, e: F.struct(h.alias("h"), e.cast("int").alias("e"))), lambda m, n: F.struct(m["x"].alias("x"), m["g"].alias("g"), n["h"].alias("h"), n["e"].alias("e")))
+        kept = F.filter(rows, lambda m: F.when(m["x"].isNull(), False).otherwise(keep(m["x"])))
+        return F.transform(kept, lambda m: F.struct((m["e"] - F.length(m["x"])).alias("s"), m["e"].alias("e"), m["x"].alias("x"), F.substring_index(F.rtrim(m["g"]), " ", -1).alias("b"), F.substring_index(F.ltrim(m["h"]), " ", 1).alias("a")))
 
-    return F.aggregate(zipped, zero, step)["out"]
+    return F.get(F.transform(F.array(F.struct(found.alias("f"), gaps.alias("g"))), placed), F.lit(0)).cast(MATCH)
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(rid, doc_id, email, ip, card, phone, cand, run, runs): arrays of matches, and of the runs' places alone; one narrow pass."""
+    """(rid, doc_id, email, ip, card, phone, cand, run): arrays of matches; one narrow pass."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), t.alias("t"))
     none = F.array().cast(MATCH)
@@ -102,8 +120,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     spaced = F.translate("t", BLANKS, "     ")
     found = [F.when(hint(k), matches(F.col("t"), PATTERNS[k], lambda x, k=k: passes(k, x))).otherwise(none).alias(k) for k in KINDS]
     near = [F.when(some, matches(spaced, p, lambda x: F.lit(True))).otherwise(none).alias(k) for k, p in (("cand", CANDIDATE), ("run", RUN))]
-    out = base.select("rid", "doc_id", *found, *near)
-    return out.withColumn("runs", F.transform("run", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))))
+    return base.select("rid", "doc_id", *found, *near)
 
 
 def bare(x: Column) -> Column:
@@ -111,23 +128,34 @@ def bare(x: Column) -> Column:
 
 
 def candidates(scanned: DataFrame) -> DataFrame:
-    """(rid, s, e, instance, run, part, seed, b, a) of every candidate, bare of the marks around it; ``part`` of a run or not."""
-    every = F.concat(*(F.transform(k, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))) for k in KINDS))
-    marked = lambda k, run: F.transform(k, lambda m: F.struct(m.alias("m"), run.alias("run")))
-    both = F.concat(marked("cand", F.lit(False)), marked("run", F.lit(True)))
-    c = scanned.select("rid", every.alias("plain"), "runs", F.explode(both).alias("x")).select("rid", "plain", "runs", F.col("x.m").alias("c"), "x.run")
-    opened = F.ltrim("c.x", F.lit(OPENING))
-    c = c.select("rid", "plain", "runs", "run", (F.col("c.e") - F.length(opened)).alias("s"), bare(F.col("c.x")).alias("x"), F.lower("c.b").alias("b"), F.lower("c.a").alias("a"))
-    c = c.where("x <> ''").withColumn("e", F.col("s") + F.length("x"))
-    meets = lambda spans: F.exists(spans, lambda m: (m["s"] < F.col("e")) & (F.col("s") < m["e"]))
-    return c.select("rid", "s", "e", F.lower("x").alias("instance"), "run", (~F.col("run") & meets("runs")).alias("part"), meets("plain").alias("seed"), "b", "a")
+    """(rid, s, e, instance, run, part, seed, b, a) of every candidate, bare of the marks around it; ``part`` of a run or not.
+
+    A candidate meets a span if, of those that start before its end, one ends
+    behind its start: a running maximum over a text's places, in order.
+    """
+    marked = lambda k, tag: F.transform(k, lambda m: F.struct(F.lit(tag).alias("tag"), m.alias("m")))
+    every = F.concat(marked("cand", "cand"), marked("run", "run"), *(marked(k, "plain") for k in KINDS))
+    c = scanned.where("size(cand) > 0").select("rid", F.explode(every).alias("x")).select("rid", "x.tag", "x.m.*")
+    opened = F.ltrim("x", F.lit(OPENING))
+    plain = F.col("tag") == "plain"
+    c = c.select("rid", "tag", F.when(plain, F.col("s")).otherwise(F.col("e") - F.length(opened)).alias("s"), "e", F.when(plain, F.col("x")).otherwise(bare(F.col("x"))).alias("x"), F.lower("b").alias("b"), F.lower("a").alias("a"), F.col("s").alias("from"))
+    c = c.where("x <> ''").withColumn("to", F.when(plain, F.col("e")).otherwise(F.col("s") + F.length("x")))
+    # a span takes part as a run or as a plain find, and a candidate, be it single or a run, asks
+    spans = F.array(F.struct(F.when(plain, "plain").alias("is"), F.when(plain, F.col("s")).otherwise(F.col("to")).alias("at"), plain.alias("span")), F.struct(F.when(F.col("tag") == "run", "run").alias("is"), F.col("from").alias("at"), F.lit(True).alias("span")))
+    asks = c.select("*", F.explode(F.filter(spans, lambda x: x["is"].isNotNull() | ~x["span"])).alias("q")).select("*", "q.*")
+    before = Window.partitionBy("rid").orderBy("at", F.col("span").asc()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = lambda kind: F.max(F.when(F.col("is") == kind, F.col("e"))).over(before)
+    met = asks.select("*", ends("run").alias("run_end"), ends("plain").alias("plain_end")).where("not span")
+    meets = lambda end: F.coalesce(F.col(end) > F.col("s"), F.lit(False))
+    run = F.col("tag") == "run"
+    return met.select("rid", "s", F.col("to").alias("e"), F.lower("x").alias("instance"), run.alias("run"), (~run & meets("run_end")).alias("part"), meets("plain_end").alias("seed"), "b", "a")
 
 
 def shape(instance: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(instance, "[0-9]", "9"), r"\p{L}", "a")
 
 
-def bootstrap(spark: SparkSession, cands: DataFrame, scratch: Scratch, rounds: int = ROUNDS, confident: float = CONFIDENT, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
+def bootstrap(spark: SparkSession, cands: DataFrame, scratch: Scratch, confident: float = CONFIDENT, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """(instance, trust) of the instances that confident patterns extract, seeds left out; (pattern, t) of the patterns of single tokens that are confident in the end."""
     pattern = F.explode(F.array(F.concat(F.lit("L "), "b"), F.concat(F.lit("R "), "a")))
     edges = cands.where("b <> '' or a <> ''").select(pattern.alias("pattern"), "instance", "run", "part", "seed").where("length(pattern) > 2")
@@ -143,7 +171,8 @@ def bootstrap(spark: SparkSession, cands: DataFrame, scratch: Scratch, rounds: i
         scored = known.groupBy("pattern", "run").agg(F.count("*").alias("k"), F.sum(F.coalesce("trust", F.lit(0.0))).alias("t"), F.count("trust").alias("c"))
         return scored.where((F.col("c") >= support) & (F.col("t") / F.col("k") >= confident)).select("pattern", F.col("run").alias("of_runs"), "t", (F.col("t") / F.col("k")).alias("conf"))
 
-    for _ in range(rounds):
+    known = trusted.count()
+    while True:
         # a pattern learned from single tokens extracts runs too, one learned from runs no single tokens
         good = confidence()
         reached = edges.join(good, "pattern").where("run or not of_runs").groupBy("instance").agg(F.max("conf").alias("trust"), F.max("seed").alias("seed"))
@@ -153,6 +182,9 @@ def bootstrap(spark: SparkSession, cands: DataFrame, scratch: Scratch, rounds: i
         new = reached.where(formed).union(of.join(learned, "shape").select("instance", "trust", "seed"))
         both = trusted.union(new).groupBy("instance").agg(F.max("trust").alias("trust"), F.max("seed").alias("seed"))
         trusted = scratch.keep("trusted", both)
+        if (now := trusted.count()) == known:
+            break  # trust only grows, so what a further round could learn is known
+        known = now
     ends = scratch.keep("ends", confidence().where("not of_runs").select("pattern", "t"))
     return trusted.where("not seed").select("instance", "trust"), ends
 
@@ -184,9 +216,10 @@ def plain_words(docs: DataFrame, ends: DataFrame, scratch: Scratch, text: str =
         return docs.sparkSession.createDataFrame([], "rid long, s int, e int")
     often = near.select("instance").join(reached, "instance").groupBy("instance").agg(F.count("*").alias("all"), F.first("n").alias("n"))
     kept = scratch.keep("kept", often.where(F.col("n") / F.col("all") >= confident).select("instance"))
-    pieces = tokens(docs, text, key).select("rid", "ts", F.posexplode("ts").alias("i", "x")).where("x <> ''").withColumn("instance", F.lower(bare(F.col("x"))))
-    at = F.length(F.array_join(F.slice("ts", F.lit(1), F.col("i")), " ")) + (F.col("i") > 0).cast("int") + F.length("x") - F.length(F.ltrim("x", F.lit(OPENING)))
-    return pieces.join(kept, "instance").select("rid", at.alias("s"), (at + F.length("instance")).alias("e"))
+    starts = lambda ts: running(F.transform(ts, lambda x: F.length(x).cast("long") + 1))
+    at = tokens(docs, text, key).select("rid", F.explode(F.zip_with("ts", starts(F.col("ts")), lambda x, end: F.struct(x.alias("x"), end.alias("end")))).alias("w")).select("rid", "w.*").where("x <> ''")
+    pieces = at.select("rid", F.lower(bare(F.col("x"))).alias("instance"), (F.col("end") - 1 - F.length(F.ltrim("x", F.lit(OPENING)))).cast("int").alias("s"))
+    return pieces.join(kept, "instance").select("rid", "s", (F.col("s") + F.length("instance")).alias("e"))
 
 
 def find(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -196,11 +229,11 @@ def find(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "d
     cands = scratch.keep("cands", candidates(scanned))
     new, ends = bootstrap(spark, cands, scratch)
     added = cands.where("not seed").join(new, "instance").select("rid", "s", "e")
-    added = added.union(plain_words(docs, ends, scratch, text, key)).select("rid", F.struct("s", "e").alias("m"))
-    added = added.groupBy("rid").agg(F.sort_array(F.collect_set("m")).alias("context"))  # at most a document's spans
+    added = added.union(plain_words(docs, ends, scratch, text, key)).distinct()
     # a span inside another, as a group of a run is, does not count by itself
-    inside = lambda m, o: (o["s"] <= m["s"]) & (m["e"] <= o["e"]) & (o != m)
-    added = added.withColumn("context", F.filter("context", lambda m: ~F.exists("context", lambda o: inside(m, o))))
+    before = Window.partitionBy("rid").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
+    added = added.withColumn("far", F.max("e").over(before)).where("far is null or far < e").select("rid", F.struct("s", "e").alias("m"))
+    added = added.groupBy("rid").agg(F.sort_array(F.collect_list("m")).alias("context"))  # at most a document's spans
     show = lambda kind, col: F.transform(col, lambda m: F.concat_ws(":", F.lit(kind), m["s"], m["e"]))
     base = F.concat(*(show(k, F.col(k)) for k in KINDS))
     joined = scanned.join(added, "rid", "left")
