@@ -1,11 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are added up to cells of (source, language, topic). The cells'
-weights are raked to the three target marginals in turn, ``ROUNDS`` times; a
-cell's factor is its weight against its tokens. Documents are then sampled by
+weights are raked to the three target marginals in turn until each is within
+``CLOSE`` of its target, or no longer comes nearer; a cell's factor is its weight against its tokens. Documents are then sampled by
 probabilities in proportion to the factor, calibrated so that the expected
 tokens kept are ``rate`` of all: probabilities that reach one are held there
-and the others raised, ``LEVELS`` times. The draw is a hash of the key, so the
+and the others raised until no more reach one. The draw is a hash of the key, so the
 sample is the same on every run.
 
 Targets of a dimension are the tempered shares share ** power; given targets
@@ -21,13 +21,19 @@ can reach stays as near as raking brings it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratabar.llm.common import Scratch
 
-ROUNDS = 8
-LEVELS = 6
+#: Largest relative error of a marginal at which raking ends.
+CLOSE = 1e-9
+#: Rounds between two looks at the error, and most cells that are raked in one partition.
+BATCH = 6
+FEW = 20_000
+#: Rounds of raking and of calibration that the SQL unrolls, more than its tables take.
+SQL_ROUNDS = 24
+SQL_LEVELS = 10
 RATE = 0.6
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 DIMS = ("source", "lang", "topic")
@@ -46,23 +52,32 @@ def topic_of(text: Column, tokens: Column) -> Column:
     )
 
 
-def counted(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens), nulls as empty."""
+def counted(docs: DataFrame, topic: Column | None = None, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens), nulls as empty, and the columns to keep."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select("doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), text.alias("__t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), *([] if topic is None else [topic.alias("topic")]))
-    return base.select("doc_id", "source", "lang", (topic_of(F.col("__t"), F.col("n_tokens")) if topic is None else F.coalesce(F.col("topic").cast("string"), F.lit(""))).alias("topic"), "n_tokens")
+    base = docs.select("doc_id", *keep, *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), text.alias("__t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"), *([] if topic is None else [topic.alias("topic")]))
+    return base.select("doc_id", *keep, "source", "lang", (topic_of(F.col("__t"), F.col("n_tokens")) if topic is None else F.coalesce(F.col("topic").cast("string"), F.lit(""))).alias("topic"), "n_tokens")
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """One round over the three marginals."""
+def rake(cells: DataFrame, few: bool) -> DataFrame:
+    """One round over the three marginals; ``few`` cells lie in one partition, where sums need no exchange."""
     for dim in DIMS:
-        have = cells.groupBy(dim).agg(F.sum("w").alias("have")).join(targets[dim], dim, "left")
-        pull = have.select(dim, F.when(F.col("have") > 0, F.col("share") / F.col("have")).otherwise(0.0).alias("pull"))
-        cells = cells.join(pull, dim, "left").withColumn("w", F.col("w") * F.coalesce("pull", F.lit(0.0))).drop("pull")
+        if few:
+            have = F.sum("w").over(Window.partitionBy(dim))
+            cells = cells.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"{dim}_share") / have).otherwise(0.0))
+            continue
+        have = cells.groupBy(dim).agg(F.sum("w").alias("have"))
+        cells = cells.join(have, dim).withColumn("w", F.when(F.col("have") > 0, F.col("w") * F.col(f"{dim}_share") / F.col("have")).otherwise(0.0)).drop("have")
     return cells
 
 
-def probabilities(spark: SparkSession, rows: DataFrame, rate: float = RATE, rounds: int = ROUNDS, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, scratch: Scratch | None = None) -> DataFrame:
+def off(cells: DataFrame, dim: str) -> float:
+    """Largest relative error of a marginal against its target."""
+    have = cells.groupBy(dim).agg(F.sum("w").alias("have"), F.first(f"{dim}_share").alias("share"))
+    return have.agg(F.coalesce(F.max(F.abs(F.try_divide("have", "share") - 1)), F.lit(0.0))).first()[0]
+
+
+def probabilities(spark: SparkSession, rows: DataFrame, rate: float = RATE, close: float = CLOSE, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Cells with columns source, lang, topic, n, f, p from ``counted`` rows."""
     scratch = scratch or Scratch(spark, "mixing")
     powers = powers or POWERS
@@ -79,13 +94,25 @@ def probabilities(spark: SparkSession, rows: DataFrame, rate: float = RATE, roun
         whole = raised.agg(F.sum("r")).first()[0]
         aims[dim] = scratch.keep(f"aim-{dim}", raised.select(dim, (F.col("r") / F.lit(whole)).alias("share")))
     now = cells.withColumn("w", F.col("n") / F.lit(float(total)))
-    for k in range(rounds):
-        now = scratch.keep(f"round{k}", rake(now, aims))
-        if k:
-            scratch.drop(f"round{k - 1}")
+    for dim in DIMS:
+        now = now.join(aims[dim].withColumnRenamed("share", f"{dim}_share"), dim, "left").fillna(0.0, [f"{dim}_share"])
+    few = cells.count() <= FEW
+    k, apart = 0, float("inf")
+    while True:
+        now = now.repartition(1) if few else now
+        for _ in range(BATCH):
+            # a join of cells with their own sums doubles the plan, so each round is written
+            now = rake(now, few) if few else scratch.keep(f"joined{k}", rake(now, few))
+        now, k, before = scratch.keep(f"round{k + 1}", now), k + 1, apart
+        scratch.drop(f"round{k - 1}", f"joined{k - 1}")
+        apart = max(off(now, dim) for dim in DIMS)
+        if apart <= close or apart > 0.99 * before:  # reached, or targets that these cells cannot reach together
+            break
     now = now.withColumn("f", F.col("w") * F.lit(float(total)) / F.col("n"))
     level = rate
-    for _ in range(LEVELS):
+    before = None
+    while level != before:  # ends, as the cells held at one only grow in number
+        before = level
         held = F.col("f") * level >= 1
         full, rest = now.agg(F.sum(F.when(held, F.col("n")).otherwise(0)), F.sum(F.when(held, 0.0).otherwise(F.col("n") * F.col("f")))).first()
         level = (rate * total - full) / rest if rest else level
@@ -97,14 +124,15 @@ def draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def sample(spark: SparkSession, docs: DataFrame, rate: float = RATE, topic: Column | None = None, **options) -> DataFrame:
-    """(doc_id, n_tokens, topic, factor, probability, kept) of every document."""
+def sample(spark: SparkSession, docs: DataFrame, rate: float = RATE, topic: Column | None = None, keep: list[str] | tuple[str, ...] = (), **options) -> DataFrame:
+    """(doc_id, n_tokens, topic, factor, probability, kept) of every document, and the columns to keep."""
     scratch = Scratch(spark, "mixing")
-    rows = scratch.keep("rows", counted(docs, topic))
-    cells = probabilities(spark, rows, rate, scratch=scratch, **options).select(*DIMS, "f", "p")
+    rows = scratch.keep("rows", counted(docs, topic, keep))
+    cells = scratch.keep("rows", probabilities(spark, rows, rate, scratch=scratch, **options).select(*DIMS, "f", "p"))
     joined = rows.join(cells, list(DIMS), "left")
     p = F.coalesce("p", F.lit(1.0))
-    return joined.select("doc_id", "n_tokens", "topic", F.coalesce("f", F.lit(0.0)).alias("factor"), p.alias("probability"), (draw(F.col("doc_id")) < p).alias("kept"))
+    scratch.drop_but("rows")
+    return joined.select("doc_id", *keep, "n_tokens", "topic", F.coalesce("f", F.lit(0.0)).alias("factor"), p.alias("probability"), (draw(F.col("doc_id")) < p).alias("kept"))
 
 
 def oracle() -> str:
@@ -120,14 +148,14 @@ s0 AS (SELECT c.*, n / total AS w FROM c, tot)"""]
     for dim, power in POWERS.items():
         parts.append(f"a_{dim} AS (SELECT {dim}, r / sum(r) OVER () AS share FROM (SELECT {dim}, pow(sum(n) / any_value(total), {power}) AS r FROM c, tot GROUP BY {dim}))")
     k = 0
-    for _ in range(ROUNDS):
+    for _ in range(SQL_ROUNDS):
         for dim in DIMS:
             parts.append(f"s{k + 1} AS MATERIALIZED (SELECT source, lang, topic, n, w * share / sum(w) OVER (PARTITION BY {dim}) AS w FROM s{k} JOIN a_{dim} USING ({dim}))")
             k += 1
     parts.append(f"g AS MATERIALIZED (SELECT s{k}.*, w * total / n AS f, total FROM s{k}, tot), l0 AS (SELECT {RATE}::DOUBLE AS level)")
-    for i in range(LEVELS):
+    for i in range(SQL_LEVELS):
         parts.append(f"l{i + 1} AS MATERIALIZED (SELECT ({RATE} * any_value(total) - sum(CASE WHEN f * level >= 1 THEN n ELSE 0 END)) / sum(CASE WHEN f * level >= 1 THEN 0 ELSE n * f END) AS level FROM g, l{i})")
-    parts.append(f"p AS (SELECT source, lang, topic, f, least(1.0, f * level) AS p FROM g, l{LEVELS})")
+    parts.append(f"p AS (SELECT source, lang, topic, f, least(1.0, f * level) AS p FROM g, l{SQL_LEVELS})")
     return "WITH " + ",\n".join(x.strip() for x in parts) + """
 SELECT doc_id, n_tokens, topic, round(coalesce(f, 0), 6) AS factor, round(coalesce(p, 1), 6) AS probability,
   ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT / 4294967296.0 < coalesce(p, 1) AS kept
