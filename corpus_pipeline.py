@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's documents. All but the
 last return the columns of ``documents``.
+
+Rows are told apart by a row id in every stage that filters, so documents with
+a null or a repeated doc_id are documents of their own: a null one comes before
+all others, and of rows that are copies of each other one stays.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratabar.llm import linededup, mixing, packing, simhash, toxicity
-from stratabar.llm.common import Scratch, table
+from stratabar.llm.common import Scratch, table, with_rid
 
 #: Share of tokens that the mixing stage keeps.
 KEEP = 0.8
@@ -32,14 +36,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies."""
-    groups = simhash.classes(spark, docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = with_rid(docs, "doc_id", Scratch(spark, "copies"))
+    groups = simhash.classes(spark, rows, key="__rid")
+    return rows.join(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__rid")), "__rid", "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample by probabilities raked to source, language and topic targets."""
-    drawn = mixing.sample(spark, docs, KEEP)
-    return docs.join(drawn.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = with_rid(docs, "doc_id", Scratch(spark, "mix"))
+    drawn = mixing.sample(spark, rows, KEEP, keep=["__rid"])
+    return rows.join(drawn.where("kept").select("__rid"), "__rid", "left_semi").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
