@@ -66,7 +66,9 @@ def at(bars: DataFrame, key: str | Interval | None) -> DataFrame:
     return out.withColumns({"interval": F.lit(i.key), "periods_per_year": F.lit(i.periods_per_year)})
 
 
-def require_daily(bars: DataFrame, who: str) -> None:
-    """Refuse bars whose yearly constants a caller has fixed at 252."""
-    if "periods_per_year" in bars.columns and bars.where("periods_per_year <> 252").limit(1).count():
-        raise NotImplementedError(f"{who} is defined for daily bars only")
+def require_daily(rows: DataFrame, who: str) -> DataFrame:
+    """``rows`` as they are; a read fails on any that carry another ``periods_per_year`` than the 252 that ``who`` fixes."""
+    if "periods_per_year" not in rows.columns:
+        return rows
+    ok = F.col("periods_per_year").isNull() | (F.col("periods_per_year") == 252)
+    return rows.where(F.when(ok, True).otherwise(F.raise_error(F.lit(f"{who} is defined for daily bars only")).cast("boolean")))

@@ -13,15 +13,16 @@ FEATURES = ("ret", "rv5", "rv20", "rv60", "mom20", "mom60", "ma_spread", "range"
 def build(bars: DataFrame) -> DataFrame:
     """(symbol, date, eleven features, close): one exchange and one sort on (symbol, date).
 
-    Yearly scaling follows ``periods_per_year`` where bars carry it, else 252.
+    Yearly scaling follows ``periods_per_year`` where bars carry it, which is passed on, else 252.
     Every division is guarded, so undefined values are null.
     """
     w = along()
+    carried = [c for c in ("periods_per_year",) if c in bars.columns]
     ann = F.sqrt(F.coalesce("periods_per_year", F.lit(252.0))) if "periods_per_year" in bars.columns else F.sqrt(F.lit(252.0))
     before = lambda n: F.lag("close", n).over(w)
     log = lambda c: F.when(c > 0, F.ln(c))
     one = bars.select(
-        "symbol", "date", "open", "high", "low", "close", "volume", ann.alias("ann"),
+        "symbol", "date", "open", "high", "low", "close", "volume", *carried, ann.alias("ann"),
         (log(F.col("close")) - log(before(1))).alias("ret"), before(1).alias("prev"),
         log(F.try_divide(F.col("close"), before(20))).alias("mom20"), log(F.try_divide(F.col("close"), before(60))).alias("mom60"),
         log(F.col("volume")).alias("lnv"),
@@ -33,5 +34,5 @@ def build(bars: DataFrame) -> DataFrame:
         F.try_divide(F.col("high") - F.col("low"), F.col("close")).alias("range"),
         F.try_divide(F.abs(F.col("open") - F.col("prev")), F.col("prev")).alias("gap"),
         F.try_divide(F.col("lnv") - mean("lnv", 20), F.nullif(deviation("lnv", 20), F.lit(0.0))).alias("volz"),
-        F.try_divide(F.abs("ret"), F.try_divide(F.col("volume"), mean("volume", 20))).alias("amihud"), "close",
+        F.try_divide(F.abs("ret"), F.try_divide(F.col("volume"), mean("volume", 20))).alias("amihud"), "close", *carried,
     )

@@ -60,7 +60,8 @@ def warnings_of(spark: SparkSession, rep: DataFrame, interval: str | None = None
 def span_mismatch(bars: DataFrame, share: float = 0.10) -> DataFrame:
     """Symbols with bars fewer than the most by more than a share."""
     n = bars.groupBy("symbol").agg(F.count("*").alias("bars"))
-    return n.withColumn("most", F.max("bars").over(Window.partitionBy(F.lit(1)))).where(F.col("bars") < (1 - share) * F.col("most"))
+    most = n.agg(F.max("bars").alias("most")).withColumn("k", F.lit(1))
+    return n.withColumn("k", F.lit(1)).join(F.broadcast(most), "k").drop("k").where(F.col("bars") < (1 - share) * F.col("most"))
 
 
 def unregistered(spark: SparkSession, bars: DataFrame) -> DataFrame:

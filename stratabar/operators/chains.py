@@ -199,7 +199,6 @@ class SwitchingAR:
         if len(y) < self.least_rows:
             return self
         t, z = self.design(y)
-        kept = None if self.beta is None else (self.beta, self.var, self.move, self.start)
         if self.beta is None:
             self.beta = np.column_stack([np.quantile(t, [0.2, 0.5, 0.8]), np.zeros(self.k)])
             self.var = np.maximum(t.var() * np.array([1.6, 0.5, 1.0]), 1e-12)
@@ -210,7 +209,7 @@ class SwitchingAR:
             alpha, beta, ll = chain_passes(emit, self.move[None], self.start[None])
             now = float((ll + base)[0])
             if not np.isfinite(now):
-                self.beta, self.var, self.move, self.start = kept if kept else (None, None, None, None)
+                self.beta = self.var = self.move = self.start = None  # a failed fit leaves no model
                 return self
             post = alpha[0] * beta[0]
             post /= np.maximum(post.sum(axis=1, keepdims=True), 1e-300)
@@ -233,18 +232,18 @@ class SwitchingAR:
         return self
 
     def filtered(self, y: np.ndarray) -> np.ndarray:
-        """Posteriors; an unfitted model learns from its first rows, or stays empty if there are too few."""
+        """Posteriors, none under 50 pairs of rows; an unfitted model learns from its first rows, or stays empty if there are too few."""
         y = np.asarray(y, dtype=float)
         out = np.full((len(y), self.k), np.nan)
         ok = np.flatnonzero(np.isfinite(y))
+        if len(ok) < 51:
+            return out
         if self.beta is None:
             if len(ok) < self.own_rows:
                 return out
             self.fit(y[ok[: self.own_rows + 1]])
             if self.beta is None:
                 return out
-        if len(ok) < 3:
-            return out
         t, z = self.design(y[ok])
         emit, _ = scaled(self.logs(t, z)[None])
         out[ok[1:]] = chain_passes(emit, self.move[None], self.start[None], backward=False)[0][0]

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratabar.functions.calendar import require_daily
 from stratabar.functions.numerics import forward_probabilities, hac_t, two_sided_p
 from stratabar.functions.windows import along, guarded, trail
 
@@ -25,6 +26,7 @@ def targets(features: DataFrame, horizon: int = 5) -> DataFrame:
     threshold counts as false, so its label is 0.
     """
     ahead = along().rowsBetween(1, horizon)
+    features = require_daily(features, "targets")
     fwd = features.select(
         "symbol", "date", "rv20", guarded(F.sum("ret"), "ret", horizon, ahead).alias("fwd_ret"),
         (guarded(F.stddev_samp("ret"), "ret", horizon, ahead) * F.sqrt(F.lit(YEAR))).alias("fwd_vol"),
@@ -76,7 +78,7 @@ def diebold_mariano(losses: DataFrame, keys: list[str], lag: int) -> DataFrame:
     return out.select(*keys, "n", "mean_diff", (F.col("mean_diff") / F.sqrt(F.greatest(F.col("v") / F.col("n"), F.lit(1e-18)) / F.col("n"))).alias("t_stat"))
 
 
-CALIBRATION = "symbol string, method string, target string, n long, brier_base double, brier_state double, brier_delta double, t_stat double, p_value double, logloss_base double, logloss_state double"
+CALIBRATION = "symbol string, method string, target string, n long, base_rate double, brier_base double, brier_state double, brier_delta double, t_stat double, p_value double, logloss_base double, logloss_state double"
 
 
 def compared(y: np.ndarray, base: np.ndarray, state: np.ndarray, lag: int, least: int = 100) -> dict | None:
@@ -88,7 +90,7 @@ def compared(y: np.ndarray, base: np.ndarray, state: np.ndarray, lag: int, least
     lb, ls = (b - y) ** 2, (s - y) ** 2
     t = hac_t(ls - lb, lag)
     log = lambda p: float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-    return {"n": int(ok.sum()), "brier_base": lb.mean(), "brier_state": ls.mean(), "brier_delta": ls.mean() - lb.mean(), "t_stat": t, "p_value": two_sided_p(t), "logloss_base": log(b), "logloss_state": log(s)}
+    return {"n": int(ok.sum()), "base_rate": y.mean(), "brier_base": lb.mean(), "brier_state": ls.mean(), "brier_delta": ls.mean() - lb.mean(), "t_stat": t, "p_value": two_sided_p(t), "logloss_base": log(b), "logloss_state": log(s)}
 
 
 def calibration_gain(rows: DataFrame, horizon: int = 5, splits: int = 5, control: bool = False) -> DataFrame:
@@ -148,16 +150,23 @@ def performance(rows: DataFrame, keys: list[str], cost_bps: str = "cost_bps") ->
     order = Window.partitionBy(*keys).orderBy("date")
     turn = F.abs(F.col("w") - F.lag("w", 1, 0.0).over(order))
     net = rows.select(*keys, "date", turn.alias("turn"), (F.col("w") * F.col("r") - turn * F.col(cost_bps) / 1e4).alias("net"))
-    grown = net.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col("net"))).over(order)))
+    # a product, as a loss of everything or more has no logarithm
+    grown = net.withColumn("equity", F.product(1 + F.col("net")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     drawn = grown.withColumn("dd", F.col("equity") / F.max("equity").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     out = drawn.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("net").alias("m"), F.stddev_pop("net").alias("sd"), F.min("dd").alias("max_drawdown"), (F.avg("turn") * YEAR).alias("turnover_pa"))
     vol = F.col("sd") * math.sqrt(YEAR)
     return out.select(*keys, "n", F.try_divide(F.col("m") * math.sqrt(YEAR), F.nullif("sd", F.lit(0.0))).alias("sharpe"), vol.alias("ann_vol"), "max_drawdown", F.try_divide("max_drawdown", F.nullif(vol, F.lit(0.0))).alias("dd_per_vol"), "turnover_pa")
 
 
-def risk_control(results: DataFrame, features: DataFrame, target_vol: float = 0.10, most: float = 2.0, cost_bps: float = 2.0, least: int = 300) -> DataFrame:
-    """Buy and hold, volatility target, and that overlaid with 1 - p_down, on the next return; groups under ``least`` rows are left out."""
-    rows = results.select("symbol", "method", "date", "p_down").join(features.select("symbol", "date", "ret", "rv20"), ["symbol", "date"]).dropna()
+def risk_control(results: DataFrame, features: DataFrame, target_vol: float = 0.10, most: float = 2.0, cost_bps: float = 2.0, least: int = 300, dates: DataFrame | None = None) -> DataFrame:
+    """Buy and hold, volatility target, and that overlaid with 1 - p_down, on the next return; groups under ``least`` rows are left out.
+
+    ``dates`` (symbol, date) restricts all methods to the same days.
+    """
+    daily = require_daily(features, "risk_control")
+    rows = results.select("symbol", "method", "date", *PROBS).join(daily.select("symbol", "date", "ret", "rv20"), ["symbol", "date"]).dropna()
+    if dates is not None:
+        rows = rows.join(dates.select("symbol", "date").distinct(), ["symbol", "date"], "left_semi")
     keys = ["symbol", "method"]
     order = Window.partitionBy(*keys).orderBy("date")
     base = F.least(F.lit(most), F.greatest(F.lit(0.0), target_vol / F.greatest("rv20", F.lit(1e-6))))
@@ -176,7 +185,7 @@ def decision_value(results: DataFrame, features: DataFrame, horizon: int = 5, co
     """(calibration grid, risk table with the overlay's change against the volatility target)."""
     rows = scored(results, features, horizon, control)
     rows = common_window(rows) if common else rows
-    risk = risk_control(results, features)
+    risk = risk_control(results, features, dates=rows if common else None)
     base = risk.where("strategy = 'vol_target'").select("symbol", "method", F.col("sharpe").alias("s0"), F.col("max_drawdown").alias("d0"))
     risk = risk.join(base, ["symbol", "method"]).withColumn("sharpe_delta", F.col("sharpe") - F.col("s0")).withColumn("drawdown_delta", F.col("max_drawdown") - F.col("d0")).drop("s0", "d0")
     return calibration_gain(rows, horizon, control=control), risk

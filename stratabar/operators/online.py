@@ -141,6 +141,8 @@ class Cusum:
     def states(self, z: np.ndarray) -> dict[str, np.ndarray]:
         p = np.full((len(z), 3), np.nan)
         ok = np.flatnonzero(np.isfinite(z))
+        if len(ok) < 5:
+            ok = ok[:0]  # too few to say anything
         declared, evidence = cusum_run(z[ok], self.k, self.h)
         sure = 0.50 + 0.35 * evidence
         p[ok] = ((1 - sure) / 2)[:, None]
@@ -193,7 +195,7 @@ class ChangePoints:
         empty = {k: np.full(len(y), None if k == "map_state" else np.nan, dtype=object if k == "map_state" else float) for k in ("p_down", "p_range", "p_up", "map_state", "score")}
         if len(ok) < 30:
             return empty
-        v0 = max(float(y[ok][: 30 if self.causal_prior else 250].var()), 1e-12)
+        v0 = max(float(y[ok][: 30 if self.causal_prior else 250].var()), 1e-10)
         got = softmax_arrays(np.tanh(self.sharpness * self.run(y[ok], v0)))
         for k, v in got.items():
             empty[k][ok] = v

@@ -89,7 +89,7 @@ def notes(bars: DataFrame, how: str = "intersect", least: float = 0.90, thin: fl
     if how == "union":
         n = F.col("in_panel") + F.col("missing_in_panel")
         return c.where(F.col("missing_in_panel") > thin * n).select("symbol", F.format_string("null on %d of %d dates", F.col("missing_in_panel"), n).alias("note"))
-    widest = c.withColumn("widest", F.max("own_bars").over(Window.partitionBy(F.lit(1))))
+    widest = c.withColumn("k", F.lit(1)).join(F.broadcast(c.agg(F.max("own_bars").alias("widest")).withColumn("k", F.lit(1))), "k")
     return widest.where(F.col("own_bars") < least * F.col("widest")).select("symbol", F.format_string("%d of %d bars", "own_bars", "widest").alias("note"))
 
 

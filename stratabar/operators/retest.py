@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratabar.functions.calendar import require_daily
 from stratabar.functions.numerics import forward_probabilities, hac_t, two_sided_p
 from stratabar.functions.windows import along
 from stratabar.operators.decision import PROBS
@@ -59,17 +60,20 @@ def tercile_rates(rv: np.ndarray, y: np.ndarray, warm: int = 750, least: int = 1
     return out
 
 
-MOVES = "symbol string, method string, versus string, n long, brier_state double, brier_versus double, brier_delta double, t_stat double, p_value double"
+MOVES = "symbol string, method string, versus string, n long, base_rate double, brier_state double, brier_versus double, brier_delta double, t_stat double, p_value double"
 
 
 def move_retest(results: DataFrame, features: DataFrame, splits: int = 5, threshold: float = MOVE) -> DataFrame:
-    """A logistic on the state against terciles and against a logistic on volatility; short groups are left out."""
-    rows = features.select("symbol", "date", "rv20", "rv60").join(big_move(features, threshold), ["symbol", "date"]).join(results.select("symbol", "method", "date", *PROBS), ["symbol", "date"])
+    """A logistic on the state against terciles and against a logistic on volatility; short groups are left out.
+
+    All three see the rows that have a tercile rate, so folds are cut from those.
+    """
+    rows = require_daily(features, "move_retest").select("symbol", "date", "rv20", "rv60").join(big_move(features, threshold), ["symbol", "date"]).join(results.select("symbol", "method", "date", *PROBS), ["symbol", "date"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("date")
         frame["tercile"] = tercile_rates(frame["rv20"].to_numpy(dtype=float), frame["y"].to_numpy(dtype=float))
-        full = frame.dropna(subset=["rv20", "rv60", "y", *PROBS])
+        full = frame.dropna(subset=["rv20", "rv60", "y", "tercile", *PROBS])
         out = []
         if len(full) >= 300 and full["y"].nunique() > 1:
             y = full["y"].to_numpy(dtype=float)
@@ -79,7 +83,7 @@ def move_retest(results: DataFrame, features: DataFrame, splits: int = 5, thresh
                 loss = {k: (np.clip(v[ok], 1e-6, 1 - 1e-6) - y[ok]) ** 2 for k, v in p.items()}
                 for versus in ("tercile", "volatility"):
                     t = hac_t(loss["state"] - loss[versus], 1)
-                    out.append((frame["symbol"].iloc[0], frame["method"].iloc[0], versus, int(ok.sum()), loss["state"].mean(), loss[versus].mean(), loss["state"].mean() - loss[versus].mean(), t, two_sided_p(t)))
+                    out.append((frame["symbol"].iloc[0], frame["method"].iloc[0], versus, int(ok.sum()), y[ok].mean(), loss["state"].mean(), loss[versus].mean(), loss["state"].mean() - loss[versus].mean(), t, two_sided_p(t)))
         return pd.DataFrame(out, columns=[c.split()[0] for c in MOVES.split(", ")])
 
     return rows.repartition("symbol", "method").groupBy("symbol", "method").applyInPandas(run, MOVES)
@@ -92,7 +96,7 @@ def exposures(ready: DataFrame, lever: float = 2.0, cap: float = 1.5, budget: fl
 
 
 def ready_rows(features: DataFrame) -> DataFrame:
-    rows = features.select("symbol", "date", "ret", "rv20").where("ret is not null and rv20 is not null")
+    rows = require_daily(features, "limit_retest").select("symbol", "date", "ret", "rv20").where("ret is not null and rv20 is not null")
     return rows.withColumn("r", F.lead("ret").over(along())).where("r is not null").select("symbol", "date", "rv20", "r")
 
 

@@ -72,11 +72,11 @@ def ewma_slope(features: DataFrame, span: int = 40, z: int = 252) -> DataFrame:
 RULES = {"ma_cross": ma_cross, "return_sign": return_sign, "ewma_slope": ewma_slope, "always_range": always_range}
 
 
-def states(features: DataFrame, methods: list[str] | tuple[str, ...]) -> DataFrame:
-    """Long table (symbol, date, method, state columns) of rule methods."""
+def states(features: DataFrame, methods: list[str] | tuple[str, ...], params: dict[str, dict] | None = None) -> DataFrame:
+    """Long table (symbol, date, method, state columns) of rule methods, some with parameters of their own."""
     out = None
     for m in methods:
-        one = RULES[m](features).withColumn("method", F.lit(m)).select("symbol", "date", "method", *STATE_COLUMNS)
+        one = RULES[m](features, **(params or {}).get(m, {})).withColumn("method", F.lit(m)).select("symbol", "date", "method", *STATE_COLUMNS)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -151,14 +151,14 @@ def run_one(frame: pd.DataFrame, est: Estimator, engine: Engine) -> pd.DataFrame
 def sweep(spark: SparkSession, features: DataFrame, methods_: list, engine: Engine | None = None) -> DataFrame:
     """(symbol, date, method, states, error): every symbol with every method; a pair that fails gives one row with its error.
 
-    ``methods_`` holds names or (name, parameters). Rule methods with plain
-    parameters stay window expressions.
+    ``methods_`` holds names or (name, parameters). Rule methods are window
+    expressions, whatever their parameters.
     """
     e = engine or Engine()
     named = {(m if isinstance(m, str) else m[0]): ({} if isinstance(m, str) else dict(m[1])) for m in methods_}
-    native = [m for m, p in named.items() if m in rules.RULES and not p]
+    native = [m for m in named if m in rules.RULES]
     rest = {m: p for m, p in named.items() if m not in native}
-    out = rules.states(features, native).withColumn("error", F.lit(None).cast("string")) if native else None
+    out = rules.states(features, native, named).withColumn("error", F.lit(None).cast("string")) if native else None
     if rest:
         for m in rest:
             estimator(m, **rest[m])  # an unknown name fails here, not in a task
@@ -178,7 +178,8 @@ def sweep(spark: SparkSession, features: DataFrame, methods_: list, engine: Engi
             return got[["symbol", "date", "method", *rules.STATE_COLUMNS, "error"]]
 
         wanted = features.select("symbol", "date", "ret", "rv20", "close").withColumn("method", F.explode(F.array(*(F.lit(m) for m in rest))))
-        parts = max(1, len(rest) * 8)
+        # fits are long, so groups are not put together as small tables are
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(rest) * 8)
         fitted = wanted.repartition(parts, "symbol", "method").groupBy("symbol", "method").applyInPandas(run, f"symbol string, date date, method string, {STATE_SCHEMA}, error string")
         out = fitted if out is None else out.unionByName(fitted)
     return out

@@ -130,7 +130,7 @@ QUERIES["features"], ORACLES["features"] = features_daily, ORACLES["features_dai
 
 @query(o.query(o.BARS, o.WEEKLY, o.features("weekly", 52), select=f"SELECT symbol, date, {o.rounded(COLUMNS)} FROM features"))
 def features_weekly(spark, sf_dir):
-    return neat(features.build(calendar.at(daily(spark, sf_dir), "weekly")), COLUMNS)
+    return neat(features.build(calendar.at(daily(spark, sf_dir), "weekly")), COLUMNS).drop("periods_per_year")
 
 
 @query(o.query(o.BARS, o.features(), o.z("ma_spread", "z", "features", "zz"), select="SELECT symbol, date, round(z, 8) AS z FROM zz"))
@@ -579,6 +579,11 @@ def factored_vs_flat(spark, sf_dir):
     return factored.compare(frame(spark, sf_dir))[0]
 
 
+@query()
+def factored_stability(spark, sf_dir):
+    return factored.compare(frame(spark, sf_dir))[1]
+
+
 @query()
 def run_recovery(spark, sf_dir):
     return recovery.run(spark, walkforward.methods())
@@ -595,7 +600,16 @@ def stream_sessions(spark, sf_dir):
     return neat(streams.sessions(table(spark, sf_dir, "events")), "sum_value", 6)
 
 
-@query()
+@query("""
+WITH RECURSIVE st AS (SELECT event_type, avg(value) AS m, coalesce(nullif(stddev_samp(value), 0), 1.0) AS s FROM events GROUP BY event_type),
+zn AS (SELECT event_type AS key, ts, (value - m) / s AS z, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM events JOIN st USING (event_type)),
+cus AS (
+  SELECT key, ts, z, i, CASE WHEN abs(z) - 0.5 > 5 THEN 0.0 ELSE greatest(0.0, z - 0.5) END AS up, CASE WHEN abs(z) - 0.5 > 5 THEN 0.0 ELSE greatest(0.0, -z - 0.5) END AS dn, CASE WHEN z - 0.5 > 5 THEN 2 WHEN -z - 0.5 > 5 THEN 0 ELSE 1 END AS declared FROM zn WHERE i = 1
+  UNION ALL
+  SELECT n.key, n.ts, n.z, n.i, CASE WHEN c.up + n.z - 0.5 > 5 OR c.dn - n.z - 0.5 > 5 THEN 0.0 ELSE greatest(0.0, c.up + n.z - 0.5) END, CASE WHEN c.up + n.z - 0.5 > 5 OR c.dn - n.z - 0.5 > 5 THEN 0.0 ELSE greatest(0.0, c.dn - n.z - 0.5) END,
+    CASE WHEN c.up + n.z - 0.5 > 5 THEN 2 WHEN c.dn - n.z - 0.5 > 5 THEN 0 ELSE c.declared END FROM cus c JOIN zn n ON n.key = c.key AND n.i = c.i + 1
+)
+SELECT key, ts, round(z, 6) AS z, declared::INTEGER AS declared, round(least(1.0, CASE declared WHEN 2 THEN up WHEN 0 THEN dn ELSE greatest(up, dn) END / 5), 6) AS evidence FROM cus""")
 def stream_cusum(spark, sf_dir):
     """CUSUM over a file-fed stream of events, driven to its end."""
     events = table(spark, sf_dir, "events")
@@ -603,7 +617,7 @@ def stream_cusum(spark, sf_dir):
     scales = {r[0]: (r[1], r[2] or 1.0) for r in stats.collect()}  # one row an event type
     stream = spark.readStream.schema(events.schema).format("parquet").option("pathGlobFilter", "*.parquet").load(_folder(spark, sf_dir))
     mean, sd = (F.create_map(*(x for k, v in scales.items() for x in (F.lit(k), F.lit(float(v[i])))))[F.col("event_type")] for i in (0, 1))
-    return streams.run_to_memory(streams.cusum(stream.select(F.col("event_type").alias("key"), "ts", ((F.col("value") - mean) / sd).alias("z"))), f"stream_cusum_{abs(hash(sf_dir)) % 10**8}")
+    return neat(streams.replay(streams.cusum(stream.select(F.col("event_type").alias("key"), "ts", ((F.col("value") - mean) / sd).alias("z"))), "stream-cusum"), "z evidence", 6)
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> str:

@@ -94,7 +94,7 @@ def data(spark, args):
     rep = audit.report(spark, prices, args.interval)
     show("bars", rep)
     show("warnings", audit.warnings_of(spark, rep, args.interval))
-    print(audit.search_space(len(registry.expand(names)), 1, args.methods, args.targets))
+    print(audit.search_space(len(registry.chosen(names)), 1, args.methods, args.targets))
     if args.panel:
         show("coverage", panel.coverage(prices, args.how))
         show("alignment", panel.breakdown(prices))

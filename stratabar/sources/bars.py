@@ -111,13 +111,13 @@ def load(spark: SparkSession, symbol: str, root: str, start: str | None = None,
         found, source = tidy(cached, name), CACHED
     if found is None and download:
         spark.dataSource.register(PriceVendor)
-        reader = spark.read.format("price_vendor").option("ticker", registry.resolve(name))
+        reader = spark.read.format("price_vendor").option("ticker", registry.lookup(name)["ticker"])
         for key, value in (("fetch", fetch), ("start", start), ("end", end)):
             reader = reader.option(key, value) if value else reader
         found, source = reader.load().withColumn("symbol", F.lit(name)), VENDOR
         if not found.limit(1).count():
             raise ValueError(f"the vendor has no rows for {name}")
-        write(found, f"{root}/cache/{name}.parquet")
+        cache(found, root, name)
     if found is None:
         raise FileNotFoundError(f"no prices for {name} under {root}")
     out = trimmed(found, start, end)
@@ -126,10 +126,53 @@ def load(spark: SparkSession, symbol: str, root: str, start: str | None = None,
     return calendar.at(out, interval).withColumn("source", F.lit(source))
 
 
+def cache(df: DataFrame, root: str, name: str) -> str:
+    """Keep vendor rows as Parquet or, where that fails, as CSV for the eye; only the Parquet is read again."""
+    try:
+        return write(df, f"{root}/cache/{name}.parquet")
+    except Exception:  # noqa: BLE001  a cache that cannot be written must not lose the rows
+        path = f"{root}/cache/{name}.csv"
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return path
+
+
+def held(spark: SparkSession, symbols: list[str], root: str, fresh: bool) -> tuple[DataFrame | None, set[str]]:
+    """(bars with their source, symbols) of all files at hand, a committed CSV before a cached table; one scan of each kind."""
+    jvm, out, own = spark._jvm, None, set()
+    for kind, folder, source in (("csv", "raw", COMMITTED), ("parquet", "cache", CACHED)):
+        if fresh and kind == "csv":
+            continue
+        paths = {s: f"{root}/{folder}/{s}.{kind}" for s in symbols if s not in own}
+        there = {s: p for s, p in paths.items() if (h := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(h)}
+        if not there:
+            continue
+        raw = spark.read.schema(RAW).option("header", True).csv(list(there.values())) if kind == "csv" else spark.read.parquet(*there.values())
+        of = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), rf"/{folder}/([^/]+)[.]{kind}(?:/|$)", 1)
+        one = tidy(raw.drop("symbol").withColumn("symbol", of)).withColumn("source", F.lit(source))
+        out = one if out is None else out.unionByName(one)
+        own |= set(there)
+    return out, own
+
+
 def load_universe(spark: SparkSession, names: str | list[str], root: str, **options) -> DataFrame:
-    """One long table of a universe's bars; symbols that fail are skipped with a warning."""
+    """One long table of a universe's bars; symbols that fail are skipped with a warning.
+
+    Files at hand are read in one scan and counted in one job; only if one of
+    them cannot be read, or for the vendor, are symbols loaded one by one.
+    """
+    symbols = registry.chosen(names)
     found = []
-    for symbol in registry.expand(names):
+    try:
+        out, own = held(spark, symbols, root, options.get("fresh", False))
+        out = None if out is None else trimmed(out, options.get("start"), options.get("end"))
+        full = set() if out is None else {r[0] for r in out.select("symbol").distinct().collect()}  # at most the symbols asked for
+        for symbol in sorted(own - full):
+            warnings.warn(f"{symbol} skipped: no prices between {options.get('start')} and {options.get('end')}", stacklevel=2)
+        if full:
+            found.append(calendar.at(out, options.get("interval")))
+    except Exception:  # noqa: BLE001  an unreadable file is passed over symbol by symbol
+        own, found = set(), []
+    for symbol in (s for s in symbols if s not in own):
         try:
             found.append(load(spark, symbol, root, **options))
         except (ValueError, FileNotFoundError) as error:

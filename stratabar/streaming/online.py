@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -77,9 +80,23 @@ def trend(rows: DataFrame, q_level: float = 1e-5, q_slope: float = 1e-8, r: floa
     return rows.select("key", "ts", "y").groupBy("key").applyInPandasWithState(step, TREND_OUT, TREND_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a file-fed stream to its end into a table in memory; for replays and tests."""
+def replay(stream: DataFrame, name: str) -> DataFrame:
+    """Drive a file-fed stream to its end into a Parquet table beside its checkpoint, and read that.
+
+    Both lie in the shared folder ``spark.checkpoint.dir``; only a session on
+    one machine, where it may be unset, gets a temporary folder.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        root = "file://" + tempfile.mkdtemp(prefix="stratabar-")
+    base = f"{root.rstrip('/')}/stratabar/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)  # a stream without rows writes nothing
+    files.deleteOnExit(path.getParent())
+    query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
