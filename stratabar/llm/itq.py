@@ -5,8 +5,9 @@ numpy from a bounded sample (``SAMPLE`` vectors chosen by a hash of the id):
 unit vectors are centred and turned to principal axes, and the rotation
 alternates with the signs it yields. Every vector gets a code of up to 64 bits,
 cut into ``TABLES`` substrings, each the key of one Hamming table within its
-label; vectors that share a key are compared with their original vectors in
-double precision. A pair is counted only in the first table where it meets.
+label. Vectors that share a key and whose whole codes differ in at most
+``RADIUS`` of their bits are compared with their original vectors in double
+precision. A pair is counted only in the first table where it meets.
 
 Equal vectors are one class and compared once. A bucket of any size is cut into
 chunks; each pair of chunks is a unit of work that returns link counts and a
@@ -33,7 +34,9 @@ from stratabar.llm.common import Scratch, components
 
 SAMPLE = 20_000
 TABLES = 7
-CHUNK = 256
+CHUNK = 1_024
+#: Share of a code in which vectors that are compared may differ; a cosine of 0.98 turns about 0.064 of random cuts.
+RADIUS = 0.3
 COSINE = 0.98
 
 
@@ -70,13 +73,22 @@ def spans(bits: int, tables: int) -> list[tuple[int, int]]:
     return [(a, (1 << (b - a)) - 1) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
-def unit_links(left: pd.DataFrame, right: pd.DataFrame | None, table: int, cut: list[tuple[int, int]], cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def vectors_of(frame: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(frame["u"]), dtype=np.float64).reshape(len(frame), -1)
+
+
+def unit_links(left: pd.DataFrame, right: pd.DataFrame | None, table: int, cut: list[tuple[int, int]], cosine: float, radius: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """(links of left's rows, of right's rows, forest by position in left + right) of one pair of chunks."""
-    a = unit_rows(left["v"])
-    b = a if right is None else unit_rows(right["v"])
+    a = vectors_of(left)
+    b = a if right is None else vectors_of(right)
     other = left if right is None else right
-    near = a @ b.T >= cosine
     ca, cb = left["code"].to_numpy(), other["code"].to_numpy()
+    near = np.bitwise_count(ca.view(np.uint64)[:, None] ^ cb.view(np.uint64)[None, :]) <= radius
+    if near.mean() < 0.02:  # few candidates: their products alone
+        i, j = np.nonzero(near)
+        near[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= cosine
+    else:
+        near &= a @ b.T >= cosine
     for shift, mask in cut[:table]:  # met in an earlier table
         near &= (ca >> shift & mask)[:, None] != (cb >> shift & mask)[None, :]
     if right is None:
@@ -115,16 +127,23 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
         for batch in batches:
             vs = batch.column(1).to_pylist()
             code = np.zeros(len(vs), dtype=np.int64)
-            own = np.array([len(v) == dim for v in vs], dtype=bool)
-            if own.any():
-                code[own] = codes_of(unit_rows([v for v, o in zip(vs, own, strict=True) if o]), mean, projection)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
+            units: list = [None] * len(vs)
+            for size in {len(v) for v in vs}:
+                at = [i for i, v in enumerate(vs) if len(v) == size]
+                unit = unit_rows([vs[i] for i in at])
+                if size == dim:
+                    code[at] = codes_of(unit, mean, projection)
+                for i, u in zip(at, unit, strict=True):
+                    units[i] = u.tobytes()
+            cols = [batch.column(0), pa.array([len(v) for v in vs], pa.int32()), pa.array(units, pa.binary()), batch.column(2), batch.column(3), pa.array(code)]
+            yield pa.RecordBatch.from_arrays(cols, names=["label", "d", "u", "cls", "copies", "code"])
 
     kind = dict(classes.dtypes)
-    coded = scratch.keep("coded", classes.select("label", F.col("v").cast("array<double>").alias("v"), "cls", "copies").mapInArrow(encode, f"label {kind['label']}, v array<double>, cls long, copies long, code long"))
+    coded = scratch.keep("coded", classes.select("label", F.col("v").cast("array<double>").alias("v"), "cls", "copies").mapInArrow(encode, f"label {kind['label']}, d int, u binary, cls long, copies long, code long"))
     cut = spans(bits, tables)
     keys = F.array(*(F.shiftrightunsigned("code", s).bitwiseAND(F.lit(m)) for s, m in cut))
-    keyed = coded.withColumn("d", F.size("v")).select("label", "d", "cls", "copies", "code", "v", F.posexplode(keys).alias("t", "k")).where((F.col("d") == dim) | (F.col("t") == 0))
+    radius = round(RADIUS * bits)
+    keyed = coded.select("label", "d", "cls", "copies", "code", "u", F.posexplode(keys).alias("t", "k")).where((F.col("d") == dim) | (F.col("t") == 0))
     buckets = keyed.groupBy("label", "d", "t", "k").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / chunk).cast("int")).drop("count")
     there = keyed.join(buckets, ["label", "d", "t", "k"]).withColumn("c", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     units = there.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("c", "o")).withColumn("j", F.greatest("c", "o"))
@@ -135,7 +154,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, cosine: float = COS
         right = None if i == j else frame[frame["c"] == j]
         if not len(left) or right is not None and not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": [], "edge": []}).astype({"a": "int64", "b": "int64", "n": "int64", "edge": "bool"})
-        la, lb, tree = unit_links(left, right, t, cut, cosine)
+        la, lb, tree = unit_links(left, right, t, cut, cosine, radius)
         ids = left["cls"].to_numpy() if right is None else np.concatenate((left["cls"].to_numpy(), right["cls"].to_numpy()))
         links = np.concatenate((la, lb)).astype(np.int64)
         some = links > 0
