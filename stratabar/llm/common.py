@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,15 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a temporary folder
-    made and set, once an application.
+    Only where the session names none and runs on one machine (tests, a laptop)
+    is a temporary folder made and set, once an application; a cluster that
+    names none is refused, as its machines would each write to their own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="stratabar-")
@@ -106,16 +110,17 @@ def components(spark: SparkSession, edges: DataFrame, tag: str) -> DataFrame:
     before = None
     while True:
         both = cur.union(cur.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("lo"))
+        # written minima, so that both sides of each join are dealt anew and Spark can split a node with very many links
+        low = scratch.keep("low", both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("lo")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("lo").alias("v"))
         # every node keeps a link to its own minimum so none is lost
         own = low.where("u <> lo").select("u", F.col("lo").alias("v"))
-        step = large.union(own).where("u <> v").distinct()
-        low2 = step.groupBy("u").agg(F.min("v").alias("lo"))
+        step = scratch.keep("step", large.union(own).where("u <> v").distinct())
+        low2 = scratch.keep("low", step.groupBy("u").agg(F.min("v").alias("lo")))
         small = step.join(low2, "u").select(F.col("v").alias("u"), F.col("lo").alias("v")).union(low2.select("u", F.col("lo").alias("v")))
         new = scratch.keep("n", small.where("u <> v").distinct())
         stat = new.agg(F.count("*"), F.count_distinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop("r")
+        scratch.drop("r", "low", "step")
         scratch.paths["r"] = scratch.paths.pop("n")
         cur = new
         # a star forest: each node once on the left, and unchanged by a round
