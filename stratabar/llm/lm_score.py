@@ -340,7 +340,7 @@ def logs_of(strings: DataFrame, model: dict, queries: bool = False) -> DataFrame
 
 
 def score(spark: SparkSession, docs: DataFrame, mod: int = 7, held: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for every row, learning from the training fold."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row, learning from the training fold."""
     scratch = Scratch(spark, "lm")
     # rows are told apart by their place in the scan, as keys may repeat
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -373,6 +373,7 @@ def score(spark: SparkSession, docs: DataFrame, mod: int = 7, held: int = 2, key
     return total.select(
         "doc_id", (fold("doc_id", mod) == held).alias("held_out"), "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("part") + F.lit(math.log10(end + 1)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"), "score", "n_bytes",
+        (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

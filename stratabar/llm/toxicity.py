@@ -47,25 +47,29 @@ def emit_words(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(word_set(x)) for x in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "pos", "words"])
 
 
+def descent(theta: np.ndarray, cols: np.ndarray, at: np.ndarray, positive: np.ndarray, prior: float, decay: float) -> np.ndarray:
+    """Direction of steepest ascent of the non-negative risk at ``theta``, or of the bracket's negative where that is below zero."""
+    n_pos, n_unl = max(1, positive.sum()), max(1, (~positive).sum())
+    z = theta[-1] + np.bincount(at, theta[cols], minlength=len(positive))
+    s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # the loss of calling a text toxic, where it is not
+    slope = s * (1 - s)
+    negative = s[~positive].sum() / n_unl - prior * s[positive].sum() / n_pos
+    # d/dz of each part; the loss of calling a positive clean is 1 - s
+    push = np.where(positive, -prior * slope / n_pos, 0.0)
+    bracket = np.where(positive, -prior * slope / n_pos, slope / n_unl)
+    dz = push + bracket if negative >= 0 else -bracket
+    return np.append(np.bincount(cols, dz[at], minlength=len(theta) - 1), dz.sum()) + decay * np.append(theta[:-1], 0.0)
+
+
 def fit_weights(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 600, rate: float = 0.1, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative risk; returns weights and intercept."""
-    sizes = np.array([len(r) for r in rows])
     cols = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int64)
-    at = np.repeat(np.arange(len(rows)), sizes)
-    n_pos, n_unl = max(1, positive.sum()), max(1, (~positive).sum())
+    at = np.repeat(np.arange(len(rows)), np.array([len(r) for r in rows], dtype=np.int64))
     theta = np.zeros(n_features + 1)
     theta[-1] = math.log(prior / (1 - prior))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
-        z = theta[-1] + np.bincount(at, theta[cols], minlength=len(rows))
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # the loss of calling a text toxic, where it is not
-        slope = s * (1 - s)
-        negative = s[~positive].sum() / n_unl - prior * s[positive].sum() / n_pos
-        # d/dz of each part; the loss of calling a positive clean is 1 - s
-        push = np.where(positive, -prior * slope / n_pos, 0.0)
-        bracket = np.where(positive, -prior * slope / n_pos, slope / n_unl)
-        dz = push + bracket if negative >= 0 else -bracket
-        grad = np.append(np.bincount(cols, dz[at], minlength=n_features), dz.sum()) + decay * np.append(theta[:-1], 0.0)
+        grad = descent(theta, cols, at, positive, prior, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return theta[:-1], float(theta[-1])

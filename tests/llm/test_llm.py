@@ -112,6 +112,41 @@ def test_toxicity_risk_never_rewards_negative():
     assert w[0] > w[1] and np.isfinite(w).all() and np.isfinite(b)
 
 
+def plain_risk(theta, rows, positive, prior, decay):
+    """(risk, bracket) of Kiryo et al. text by text, with weight decay."""
+    sigma = lambda r: 1 / (1 + math.exp(-(theta[-1] + sum(theta[int(c)] for c in r))))
+    pos, unl = [sigma(r) for r, p in zip(rows, positive, strict=True) if p], [sigma(r) for r, p in zip(rows, positive, strict=True) if not p]
+    bracket = sum(unl) / len(unl) - prior * sum(pos) / len(pos)
+    ridge = decay / 2 * sum(t * t for t in theta[:-1])
+    return prior * sum(1 - s for s in pos) / len(pos) + bracket + ridge, bracket, ridge - bracket
+
+
+def test_toxicity_gradient_against_finite_differences():
+    rng = np.random.default_rng(9)
+    signs = set()
+    for k in range(30):
+        rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(25)]
+        positive, prior = np.arange(25) < 8, [0.1, 0.8][k % 2]
+        theta = rng.normal(size=7) * 2 + np.append(np.zeros(6), [0.0, -2.0][k % 2])
+        cols, at = np.concatenate(rows), np.repeat(np.arange(25), [len(r) for r in rows])
+        got = toxicity.descent(theta, cols, at, positive, prior, 0.01)
+        below = plain_risk(theta, rows, positive, prior, 0.01)[1] < 0
+        signs.add(below)
+        value = lambda t: plain_risk(t, rows, positive, prior, 0.01)[2 if below else 0]  # noqa: B023, E731
+        want = [(value(theta + e) - value(theta - e)) / 2e-6 for e in np.eye(7) * 1e-6]
+        assert np.allclose(got, want, atol=1e-7)
+    assert signs == {True, False}
+
+
+def test_toxicity_scores_are_direct_sums(spark, docs, texts):
+    model = {"weights": {"the": 0.7, "and": -1.3, "that": 0.2, "ther~": 0.9, "die": -0.4}, "bias": -0.5}
+    for r in toxicity.score(spark, docs, model).collect():
+        words = set(re.sub(r"""[.,;:!?"'()\[\]{}<>|*_#]""", " ", (texts[r["doc_id"]] or "").lower()).split())
+        features = words | {w[:n] + "~" for n in (4, 5) for w in words if len(w) > n}
+        z = model["bias"] + sum(x for f, x in model["weights"].items() if f in features)
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-z)), rel_tol=1e-12)
+
+
 def test_toxicity_odd(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1), (6, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.train(spark, odd, labels)
@@ -209,15 +244,35 @@ def test_mixing_hits_targets(spark, docs):
     total = rows.agg(F.sum("n_tokens")).first()[0]
     cells = mixing.probabilities(spark, rows).toPandas()
     weight = cells["n"] * cells["f"] / total
-    shares = weight.groupby(cells["topic"]).sum()
-    have = cells["n"].groupby(cells["topic"]).sum() / total
-    aim = have**0.7 / (have**0.7).sum()
-    assert np.allclose(shares, aim, atol=1e-6)  # the last marginal raked
+    for dim, power in mixing.POWERS.items():
+        have = cells["n"].groupby(cells[dim]).sum() / total
+        aim = have**power / (have**power).sum()
+        assert np.allclose(weight.groupby(cells[dim]).sum(), aim, rtol=1e-8)
     assert math.isclose((cells["n"] * cells["p"]).sum(), mixing.RATE * total, rel_tol=1e-3)
 
 
+def test_mixing_rakes_many_cells_as_few(spark):
+    rows = [(f"s{i}", f"l{j}", f"t{k}", 0.1 + i * j + k, 0.5, 0.3 + j, 0.2 + k) for i in range(3) for j in range(3) for k in range(3)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, w double, source_share double, lang_share double, topic_share double")
+    one, other = ({tuple(r[:3]): r["w"] for r in mixing.rake(cells, few).select(*mixing.DIMS, "w").collect()} for few in (True, False))
+    assert len(one) == 27 and all(math.isclose(one[k], other[k], rel_tol=1e-12) for k in one)
+
+
+def test_mixing_rakes_correlated_cells_to_the_end(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{i}", f"l{(i + int(rng.random() < 0.05)) % 3}", f"t{(i // 2 + int(rng.random() < 0.05)) % 3}", int(rng.integers(1, 100 * (1 + i)))) for i in range(6) for _ in range(60)]
+    rows += [(f"s{i}", f"l{j}", f"t{k}", 30) for i in range(6) for j in range(3) for k in range(3)]
+    cells = mixing.probabilities(spark, spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")).toPandas()
+    weight = cells["n"] * cells["f"] / cells["n"].sum()
+    for dim, power in mixing.POWERS.items():
+        have = cells["n"].groupby(cells[dim]).sum() / cells["n"].sum()
+        assert np.allclose(weight.groupby(cells[dim]).sum(), have**power / (have**power).sum(), rtol=1e-6)
+    assert math.isclose((cells["n"] * cells["p"]).sum(), mixing.RATE * cells["n"].sum(), rel_tol=1e-9)
+
+
 def test_mixing_odd(spark, odd, empty):
-    out = mixing.sample(spark, odd).collect()
+    out = mixing.sample(spark, odd, keep=["score"]).collect()
+    assert "score" in out[0].asDict()
     assert len(out) == 12 and all(0 <= r["probability"] <= 1 for r in out)
     assert mixing.sample(spark, empty).count() == 0
 
@@ -258,15 +313,32 @@ def test_itq_recall_on_table(spark, sf):
 
 def test_top_k_against_brute_force(spark, vectors):
     got = collections.defaultdict(list)
-    for r in balltree.top_k(spark, vectors, vectors.where("vec_id % 100 = 0"), shard=64, block=3).orderBy("query_id", "rank").collect():
+    for r in balltree.top_k(spark, vectors, vectors.where("vec_id % 100 = 0"), shard=64).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
-    rows = {r["vec_id"]: [math.floor(1024 * x) for x in r["embedding"]] for r in vectors.collect() if r["embedding"] and len(r["embedding"]) == 16 and all(x is not None and math.isfinite(x) for x in r["embedding"])}
+    rows = {r["vec_id"]: [math.floor(1024 * x) for x in r["embedding"]] for r in vectors.collect() if r["embedding"] and all(x is not None and math.isfinite(x) for x in r["embedding"])}
     for q in (i for i in rows if i % 100 == 0):
-        scores = sorted(((-sum(a * b for a, b in zip(rows[q], v, strict=True)), i) for i, v in rows.items() if i != q))[:10]
+        scores = sorted(((-sum(a * b for a, b in zip(rows[q], v, strict=False)), i) for i, v in rows.items() if i != q))[:10]
         assert got[q] == [(i, -s) for s, i in scores]
     assert balltree.top_k(spark, vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_odd_rows(spark):
+    """Repeated ids, other lengths, zero vectors and components without squares, against Python's integers."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100, [1.0, 2.0]), (200, [1e306, -1e306, 1.0]), (300, [0.0] * 6), (7, [1e300] * 4), (8, [-1e200] * 4), (100, [3.0, 0.5, 1.0]), (9, [2.0**40] * 4), (400, None), (500, [1.0, None]), (600, [math.inf])]
+    whole = [(i, [math.floor(x * 1024) if math.isfinite(x * 1024) else int(x) * 1024 for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard in (16, 10_000):
+        got = collections.defaultdict(list)
+        for r in balltree.top_k(spark, df, df.where("vec_id % 100 = 0"), shard=shard).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert set(got) == {0, 100, 200, 300}
+        for q in got:
+            asks = min(v for (i, _), v in zip([x for x in rows if x[0] in {y[0] for y in whole} and x[1]], [x[1] for x in whole], strict=False) if i == q)
+            scores = sorted((-min(max(sum(a * b for a, b in zip(asks, v, strict=False)), -(2**63)), 2**63 - 1), i) for i, v in whole if i != q)[:10]
+            assert got[q] == [(i, -s) for s, i in scores], (q, shard)
+
+
 # -- lines ----------------------------------------------------------------------
 def brute_lines(rows, least=0.8):
     """Places (row, line) of what goes, by all pairs; rows in order of their ids, null first."""
