@@ -84,9 +84,9 @@ def sets(lines: DataFrame) -> DataFrame:
     place = F.col("__rid").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line")
     first = lines.select("t", place.cast("decimal(38,0)").alias("place")).groupBy("t").agg(F.min("place").alias("place"))
     line = F.pmod("place", F.lit(1 << 31).cast("decimal(38,0)"))
-    hashed = first.select("place", line.cast("int").alias("line"), F.array_distinct(F.transform(F.split("t", " "), word_hash)).alias("h"))
-    hashed = hashed.select(F.expr(f"(place - line) div {1 << 31}").alias("rid"), "line", F.sort_array(F.array_remove("h", word_hash(F.lit("")))).alias("h"))
-    folded = hashed.select("rid", "line", F.size("h").alias("n"), "h", parity(F.col("h")).alias("s"))
+    keys = F.array_remove(F.array_distinct(F.transform(F.split("t", " "), word_hash)), word_hash(F.lit("")))
+    hashed = first.select("place", line.cast("int").alias("line"), F.sort_array(keys).alias("h"))
+    folded = hashed.select(F.expr(f"(place - line) div {1 << 31}").alias("rid"), "line", F.size("h").alias("n"), "h", parity(F.col("h")).alias("s"))
     half = F.when(F.col("n") > SHORT, parity(F.filter("h", lambda k: F.shiftright(k, 38).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
     split = folded.select("rid", "line", "n", "h", "s", half.alias("s2"))
     return split.select(F.monotonically_increasing_id().alias("id"), "rid", "line", "n", "h", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2")
@@ -220,3 +220,22 @@ def clean(rows: DataFrame, kept: DataFrame, text: str = "text") -> DataFrame:
     left = F.array_join(F.array_compact(F.transform(parts, lambda x, i: F.when(F.element_at(flags, i).isNull(), x))), "\n")
     names = [c for c in rows.columns if c != "__rid"]
     return out.select(*(F.when(F.size("__gone") > 0, left).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names))
+
+
+def oracle(least: float = LEAST) -> str:
+    """The query in DuckDB SQL: equal sets of words first, then a prefix join and whole sets."""
+    return f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents),
+l AS (SELECT doc_id, unnest(range(len(p)))::INTEGER AS line, unnest(p) AS raw FROM t),
+w AS (SELECT doc_id, line, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(raw), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS ws FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY ws ORDER BY doc_id, line) AS copy, row_number() OVER (ORDER BY doc_id, line) AS id FROM w WHERE len(ws) > 0),
+r AS (SELECT id, doc_id, line, ws, len(ws) AS n FROM o WHERE copy = 1),
+k AS (SELECT id, n, unnest(ws) AS word FROM r),
+f AS (SELECT word, count(*) AS df FROM k GROUP BY word),
+x AS (SELECT id, n, word FROM (SELECT k.*, row_number() OVER (PARTITION BY id ORDER BY df, word) AS pos FROM k JOIN f USING (word)) WHERE pos <= n - ceil({least} * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.word = b.word AND a.id > b.id AND least(a.n, b.n) >= {least} * greatest(a.n, b.n) - 1e-9),
+v AS (SELECT p.id, len(list_intersect(p.ws, q.ws)) AS m, p.n + q.n AS s FROM c JOIN r p ON p.id = c.a JOIN r q ON q.id = c.b),
+g AS (SELECT doc_id, line FROM o WHERE copy > 1 UNION SELECT doc_id, line FROM r WHERE id IN (SELECT id FROM v WHERE m >= {least} * (s - m) - 1e-9)),
+d AS (SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed FROM g GROUP BY doc_id)
+SELECT t.doc_id, len(p)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed FROM t LEFT JOIN d ON d.doc_id = t.doc_id
+"""

@@ -68,6 +68,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
+    "op5_line_dedup": linededup.oracle(),
     "op6_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
