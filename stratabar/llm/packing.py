@@ -249,7 +249,7 @@ def pack(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "d
                 raw = code.ids(x or "") + end.to_bytes(4, "little")
                 full, rem = divmod(len(raw) // 4, window)
                 cut = full * window * 4
-                for col, v in zip(out, (doc, part, rem, ranks[rem], wins, [zlib.crc32(raw[i : i + 4 * window]) for i in range(0, cut, 4 * window)], np.frombuffer(raw[cut:], dtype="<u4").astype("<u2").tobytes()), strict=True):
+                for col, v in zip(out, (doc, part, rem, ranks[rem], wins, [zlib.crc32(raw[i : i + 4 * window]) for i in range(0, cut, 4 * window)], raw[cut:]), strict=True):
                     col.append(v)
                 ranks[rem] += 1
                 wins += full
@@ -275,8 +275,7 @@ def pack(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "d
                 rows += [(doc, i * window, window, c, total, base + win + i, 0) for i, c in enumerate(crcs)]
                 if rem:
                     start = len(crcs) * window
-                    raw = np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
-                    rows += [(doc, start + s, n, zlib.crc32(raw[4 * s : 4 * (s + n)]), total, seq, at) for s, n, seq, at in place(plan, rem, rank + before, window)]
+                    rows += [(doc, start + s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), total, seq, at) for s, n, seq, at in place(plan, rem, rank + before, window)]
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
