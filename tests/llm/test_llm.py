@@ -656,19 +656,79 @@ def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-def test_pipeline(spark, sf):
+def brute_mixture(rows, rate):
+    """Ids kept of (doc_id, text, source, lang) by raking, levelling and drawing in plain Python."""
+    where, n = {}, collections.Counter()
+    for i, text, source, lang in rows:
+        t = text or ""
+        k = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        topic = "table" if " | " in t else "settings" if " = " in t or "{" in t else "contact" if "@" in t else "note" if k < 64 else "prose" if k < 512 else "long"
+        where[i] = (source or "", lang or "", topic)
+        n[where[i]] += k
+    n = {c: k for c, k in n.items() if k}
+    total = sum(n.values())
+    share = lambda d, w: collections.Counter({v: sum(x for c, x in w.items() if c[d] == v) for v in {c[d] for c in w}})
+    aims = []
+    for d, power in enumerate((0.5, 0.7, 0.7)):
+        raised = {v: (x / total) ** power for v, x in share(d, n).items()}
+        aims.append({v: x / sum(raised.values()) for v, x in raised.items()})
+    w = {c: k / total for c, k in n.items()}
+    for _ in range(300):
+        for d in range(3):
+            have = share(d, w)
+            w = {c: x * aims[d][c[d]] / have[c[d]] for c, x in w.items()}
+    f, level = {c: w[c] * total / n[c] for c in n}, rate
+    for _ in range(50):
+        held = {c for c in n if f[c] * level >= 1}
+        rest = sum(n[c] * f[c] for c in n if c not in held)
+        level = (rate * total - sum(n[c] for c in held)) / rest if rest else level
+    draw = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) / 2**32
+    return {i for i, c in where.items() if draw(i) < min(1.0, f.get(c, math.inf) * level)}
+
+
+def test_pipeline_stage_by_stage_against_brute_force(spark, sf):
     import corpus_pipeline as c
 
     scratch = common.Scratch(spark, "test")
     first = docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.train(spark, docs, spark.read.parquet(f"{sf}/labels.parquet"))
     for name, stage in c.STAGES[:-1]:
-        before = docs.count()
+        before = sorted(docs.collect(), key=lambda r: r["doc_id"])
         docs = scratch.keep(name.replace(" ", "_"), stage(spark, docs, sf))
-        assert docs.columns == first.columns and 0 < docs.count() <= before, name
+        assert docs.columns == first.columns, name
+        got = {r["doc_id"]: r for r in docs.collect()}
+        if name == "toxicity":
+            z = {r["doc_id"]: toxicity.scores([r["text"]], model)[0] for r in before}
+            want = {i for i, x in z.items() if x < c.TOXIC}
+        elif name == "line dedup":
+            gone = brute_lines([(r["doc_id"], r["text"]) for r in before])
+            for at, r in enumerate(before):
+                left = "\n".join(x for k, x in enumerate((r["text"] or "").split("\n")) if (at, k) not in gone)
+                assert (got[r["doc_id"]]["text"] or "") == left and got[r["doc_id"]]["n_chars"] == (None if r["text"] is None else len(left))
+            want = {r["doc_id"] for r in before}
+        elif name == "simhash near-dedup":
+            fp = {r["doc_id"]: brute_fp(r["text"]) for r in before}
+            root = union([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4], fp)
+            want = {i for i, x in root.items() if i == x}
+        else:
+            want = brute_mixture([(r["doc_id"], r["text"], r["source"], r["lang"]) for r in before], c.KEEP)
+        assert set(got) == want and docs.count() == len(want), name
+        assert all(got[r["doc_id"]] == r for r in before if r["doc_id"] in got) or name == "line dedup"
     check_packing(c.STAGES[-1][1](spark, docs, sf).collect(), {r["doc_id"]: r["text"] for r in docs.collect()})
     assert docs.count() > 0.4 * first.count()
 
 
+def test_pipeline_keeps_null_and_repeated_ids(spark, sf):
+    import corpus_pipeline as c
+
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, "one of a kind, with no id at all", "en", "a", 1), (7, text, "en", "a", 1), (7, text, "en", "a", 1), (7, "another text under the same id", "en", "a", 1), (3, text.upper(), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in c.drop_copies(spark, docs, sf).collect()]
+    assert sorted(left, key=str) == sorted([(None, rows[0][1]), (7, rows[3][1]), (3, text.upper())], key=str)
+    assert c.mix(spark, docs.limit(0), sf).count() == 0 and c.mix(spark, docs, sf).columns == docs.columns
+
+
 def test_pipeline_stages_take_empty_tables(spark, sf):
     import corpus_pipeline as c
 
