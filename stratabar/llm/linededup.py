@@ -92,17 +92,14 @@ def sets(lines: DataFrame) -> DataFrame:
     return split.select(F.monotonically_increasing_id().alias("id"), "rid", "line", "n", "h", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2")
 
 
-def ranks(known: DataFrame) -> Column:
-    """Rarity ranks (four a doubling of the count) of BUCKETS hash buckets of words, as one constant array."""
-    bucket = F.explode("h").alias("k")
-    counts = known.select(bucket).groupBy(F.col("k").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.floor(4 * F.log2(1 + F.count("*"))).cast("int").alias("r"))
-    packed = counts.groupBy(F.shiftright("b", 9).alias("g")).agg(F.concat_ws(",", F.sort_array(F.collect_list(F.format_string("%06d:%d", "b", "r")))).alias("x"))
-    found = ["0"] * BUCKETS
-    for row in packed.collect():  # at most BUCKETS / 512 rows of 512 entries
-        for entry in row["x"].split(","):
-            b, r = entry.split(":")
-            found[int(b)] = r
-    return F.split(F.lit(",".join(found)), ",").cast("array<tinyint>")
+def ranks(known: DataFrame, scratch: Scratch) -> Column:
+    """Rarity ranks (four a doubling of the count) of BUCKETS hash buckets of words: one array of a byte each, as a scalar subquery."""
+    bucket = F.col("k").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
+    counts = known.select(F.explode("h").alias("k")).groupBy(bucket).agg(F.count("*").alias("n"))
+    every = counts.union(known.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long"))).groupBy("b").agg(F.floor(4 * F.log2(1 + F.sum("n"))).cast("tinyint").alias("r"))
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    pieces = every.groupBy(F.shiftright("b", 9).alias("g")).agg(in_order("b", "r").alias("r"))  # 512 entries each
+    return scratch.keep("ranks", pieces.agg(F.flatten(in_order("g", "r")).alias("r"))).scalar()
 
 
 def need(total: Column, least: float) -> Column:
@@ -178,11 +175,12 @@ def kept_lines(spark: SparkSession, docs: DataFrame, least: float = LEAST, text:
     # sorted hashes: a dictionary gains nothing
     known = scratch.keep("sets", sets(lines_of(rows, text)), compression="zstd", **{"parquet.enable.dictionary": "false"})
     gone = scratch.keep("settled", settled(known, least, scratch))
-    rank = ranks(known)
-    ranked = F.sort_array(F.transform("h", lambda k: F.shiftleft(F.get(rank, k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), BITS).bitwiseOR(k)))
+    rank = ranks(known, scratch)
+    ranked = F.sort_array(F.transform("h", lambda k: F.shiftleft(F.get("rank", k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), BITS).bitwiseOR(k)))
     prefix = F.slice(ranked, F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-6)) + 1).cast("int"))
     marked = gone.select("id", F.lit(False).alias("open"))
-    marked = known.join(F.broadcast(marked) if gone.count() <= SENT else marked, "id", "left")
+    # a subquery may not stand inside the lambda by itself, but as a column that is used once it is put there
+    marked = known.join(F.broadcast(marked) if gone.count() <= SENT else marked, "id", "left").withColumn("rank", rank)
     prefixes = scratch.keep("prefixes", marked.select("id", "n", "s1", "s2", F.coalesce("open", F.lit(True)).alias("open"), prefix.alias("p")))
     pairs = None
     for part in range(PASSES):
