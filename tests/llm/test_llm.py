@@ -376,7 +376,7 @@ def test_lines_beyond_the_broadcast_and_without_rarity(spark, texts, monkeypatch
     rows = list(texts.items())[60:110]
     want = {(rows[at][0], k) for at, k in brute_lines(rows)}
     monkeypatch.setattr(linededup, "SENT", -1)
-    monkeypatch.setattr(linededup, "ranks", lambda known: F.array_repeat(F.lit(0).cast("tinyint"), linededup.BUCKETS))
+    monkeypatch.setattr(linededup, "ranks", lambda known, scratch: F.array_repeat(F.lit(0).cast("tinyint"), linededup.BUCKETS))
     got = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
     assert want and removed_lines(got) == want
 
