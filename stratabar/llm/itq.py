@@ -83,14 +83,14 @@ def unit_links(left: pd.DataFrame, right: pd.DataFrame | None, table: int, cut:
     b = a if right is None else vectors_of(right)
     other = left if right is None else right
     ca, cb = left["code"].to_numpy(), other["code"].to_numpy()
-    near = np.bitwise_count(ca.view(np.uint64)[:, None] ^ cb.view(np.uint64)[None, :]) <= radius
-    if near.mean() < 0.02:  # few candidates: their products alone
-        i, j = np.nonzero(near)
-        near[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= cosine
-    else:
-        near &= a @ b.T >= cosine
+    i, j = np.nonzero(np.bitwise_count(ca.view(np.uint64)[:, None] ^ cb.view(np.uint64)[None, :]) <= radius)
     for shift, mask in cut[:table]:  # met in an earlier table
-        near &= (ca >> shift & mask)[:, None] != (cb >> shift & mask)[None, :]
+        new = (ca[i] >> shift & mask) != (cb[j] >> shift & mask)
+        i, j = i[new], j[new]
+    # few candidates: their products alone
+    like = np.einsum("ij,ij->i", a[i], b[j]) if len(i) < 0.02 * len(a) * len(b) else (a @ b.T)[i, j]
+    near = np.zeros((len(a), len(b)), dtype=bool)
+    near[i, j] = like >= cosine
     if right is None:
         np.fill_diagonal(near, False)
     shift, n = (0, len(left)) if right is None else (len(left), len(left) + len(right))
