@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import Scratch, fold
+from stratabar.llm.common import Scratch, fold, with_rid
 
 DEPTH = 5
 #: Bits of a byte string's code; the table below needs 48 at most.
@@ -342,8 +342,8 @@ def logs_of(strings: DataFrame, model: dict, queries: bool = False) -> DataFrame
 def score(spark: SparkSession, docs: DataFrame, mod: int = 7, held: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) for every row, learning from the training fold."""
     scratch = Scratch(spark, "lm")
-    # rows are told apart by their place in the scan, as keys may repeat
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # keys may repeat, and the texts are read more than once
+    rows = with_rid(docs, key, scratch).select(F.col("__rid").alias("rid"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     model = train(spark, rows.where(fold("doc_id", mod) != held), scratch)
     n, v, end = model["n"], model["v"], model["end"]
     logs = scratch.keep("logs", logs_of(model["grams"], model))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import Scratch
+from stratabar.llm.common import Scratch, with_rid
 
 KINDS = ("email", "ip", "card", "phone")
 # The plain patterns, with possessive repeats; a match may begin at the end of the last one (\G) or where no such character stands before.
@@ -113,7 +113,8 @@ def matches(text: Column, pattern: str, keep) -> Column:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(rid, doc_id, email, ip, card, phone, cand, run): arrays of matches; one narrow pass."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), t.alias("t"))
+    rid = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    base = docs.select(rid.alias("rid"), F.col(key).cast("long").alias("doc_id"), t.alias("t"))
     none = F.array().cast(MATCH)
     some = F.col("t").rlike("[0-9@]")
     hint = lambda kind: some & F.contains("t", F.lit(HINTS[kind])) if HINTS[kind] else some
@@ -189,20 +190,19 @@ def bootstrap(spark: SparkSession, cands: DataFrame, scratch: Scratch, confident
     return trusted.where("not seed").select("instance", "trust"), ends
 
 
-def tokens(docs: DataFrame, text: str, key: str) -> DataFrame:
+def tokens(rows: DataFrame, text: str) -> DataFrame:
     """(rid, ts): the texts' pieces between blanks, some of them empty."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), t.alias("t"))
-    return base.select("rid", F.split(F.translate("t", BLANKS, "     "), " ").alias("ts"))
+    return rows.select(F.col("__rid").alias("rid"), F.split(F.translate(t, BLANKS, "     "), " ").alias("ts"))
 
 
-def plain_words(docs: DataFrame, ends: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", confident: float = CONFIDENT) -> DataFrame:
+def plain_words(docs: DataFrame, ends: DataFrame, scratch: Scratch, text: str = "text", confident: float = CONFIDENT) -> DataFrame:
     """(rid, s, e) of words with neither digit nor at sign that confident patterns extract.
 
     Here a pattern is scored over all words it extracts, not those with digits
     only, and a word must stand in such patterns in most of its places.
     """
-    words = tokens(docs, text, key).select(F.filter("ts", lambda x: x != "").alias("ws"))
+    words = tokens(docs, text).select(F.filter("ts", lambda x: x != "").alias("ws"))
     three = F.transform("ws", lambda x, i: F.struct(F.lower(bare(x)).alias("instance"), F.lower(F.get("ws", i - 1)).alias("b"), F.lower(F.get("ws", i + 1)).alias("a")))
     near = words.select(F.explode(three).alias("w")).select("w.*").where("instance <> ''")
     word = ~F.col("instance").rlike("[0-9@]")
@@ -217,7 +217,7 @@ def plain_words(docs: DataFrame, ends: DataFrame, scratch: Scratch, text: str =
     often = near.select("instance").join(reached, "instance").groupBy("instance").agg(F.count("*").alias("all"), F.first("n").alias("n"))
     kept = scratch.keep("kept", often.where(F.col("n") / F.col("all") >= confident).select("instance"))
     starts = lambda ts: running(F.transform(ts, lambda x: F.length(x).cast("long") + 1))
-    at = tokens(docs, text, key).select("rid", F.explode(F.zip_with("ts", starts(F.col("ts")), lambda x, end: F.struct(x.alias("x"), end.alias("end")))).alias("w")).select("rid", "w.*").where("x <> ''")
+    at = tokens(docs, text).select("rid", F.explode(F.zip_with("ts", starts(F.col("ts")), lambda x, end: F.struct(x.alias("x"), end.alias("end")))).alias("w")).select("rid", "w.*").where("x <> ''")
     pieces = at.select("rid", F.lower(bare(F.col("x"))).alias("instance"), (F.col("end") - 1 - F.length(F.ltrim("x", F.lit(OPENING)))).cast("int").alias("s"))
     return pieces.join(kept, "instance").select("rid", "s", (F.col("s") + F.length("instance")).alias("e"))
 
@@ -225,11 +225,13 @@ def plain_words(docs: DataFrame, ends: DataFrame, scratch: Scratch, text: str =
 def find(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans, n_context) for every row."""
     scratch = Scratch(spark, "pii")
+    # the texts are read more than once: a row must have the same id each time
+    docs = with_rid(docs, key, scratch)
     scanned = scratch.keep("scanned", scan(docs, text, key))
     cands = scratch.keep("cands", candidates(scanned))
     new, ends = bootstrap(spark, cands, scratch)
     added = cands.where("not seed").join(new, "instance").select("rid", "s", "e")
-    added = added.union(plain_words(docs, ends, scratch, text, key)).distinct()
+    added = added.union(plain_words(docs, ends, scratch, text)).distinct()
     # a span inside another, as a group of a run is, does not count by itself
     before = Window.partitionBy("rid").orderBy("s", F.desc("e")).rowsBetween(Window.unboundedPreceding, -1)
     added = added.withColumn("far", F.max("e").over(before)).where("far is null or far < e").select("rid", F.struct("s", "e").alias("m"))
