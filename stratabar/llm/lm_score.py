@@ -33,6 +33,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,17 +74,14 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def portions(texts: list, chars: int = 2_000_000):
-    """Slices of a batch of about so many characters, a longer text being its own."""
-    held, size = [], 0
-    for x in texts:
-        held.append(x)
-        size += len(x or "") + 1
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def portions(column: pa.Array, size: int = 400_000):
+    """Lists of a column's texts, of about so many bytes each, a longer text ending its list; only one is in Python at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(column):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)) + 1
+        yield column.slice(lo, hi - lo).to_pylist()
+        lo = hi
 
 
 def grams(words: list[list[bytes]]) -> np.ndarray:
@@ -108,9 +106,15 @@ def count_batches(batches):
     def out():
         return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.nulls(len(held), pa.int64()), pa.array(held.values(), pa.int64())], names=names)
 
-    codes, times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    codes, times, fresh = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), []
+
+    def merged():
+        new, n = np.unique(np.concatenate(fresh), return_counts=True)
+        both, inverse = np.unique(np.concatenate((codes, new)), return_inverse=True)
+        return both, np.bincount(inverse, np.concatenate((times, n))).astype(np.int64)
+
     for batch in batches:
-        for texts in portions(batch.column(0).to_pylist()):
+        for texts in portions(batch.column(0)):
             words = [tokens(x) for x in texts]
             for w in words:
                 held.update(w)
@@ -118,9 +122,12 @@ def count_batches(batches):
             if len(held) > 150_000:
                 yield out()
                 held = Counter()
-            new, n = np.unique(grams(words), return_counts=True)
-            codes, inverse = np.unique(np.concatenate((codes, new)), return_inverse=True)
-            times = np.bincount(inverse, np.concatenate((times, n))).astype(np.int64)
+            fresh.append(grams(words))
+            if sum(map(len, fresh)) > 2_000_000:
+                codes, times = merged()
+                fresh = []
+    if fresh:
+        codes, times = merged()
     if held:
         yield out()
     yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(codes), pa.array(times)], names=names)
@@ -387,7 +394,7 @@ def scorer(sent, head, block: int, blocks: int):
         known, kinds = head.value, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
         for batch in batches:
             rids, docs, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for texts in portions(batch.column(2).to_pylist()):
+            for texts in portions(batch.column(2)):
                 some = [tokens(x) for x in texts]
                 sizes = np.array([sum(map(len, w)) + max(0, len(w) - 1) + 1 for w in some])
                 codes = grams(some)

@@ -6,9 +6,11 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -507,6 +509,23 @@ def test_lm_tables():
     assert np.allclose(lm_score.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
 
 
+def test_lm_holds_few_texts_at_a_time():
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, 200)) for _ in range(4000)] + [None, "", "x" * 900_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["rid", "doc_id", "text"])
+    assert [x for p in lm_score.portions(batch.column(2)) for x in p] == texts
+    assert [x for p in lm_score.portions(batch.column(2).slice(3990)) for x in p] == texts[3990:]
+    codes, times = np.unique(lm_score.grams([lm_score.tokens(t) for t in texts]), return_counts=True)
+    sent, head = (type("Sent", (), {"value": v}) for v in (lm_score.Table(codes, -np.ones(len(codes))), {f"w{x}".encode(): 1.0 for x in range(900)}))
+    tracemalloc.start()
+    scores = [r for b in lm_score.scorer(sent, head, 0, 1)([batch.slice(0, 4002)]) for r in b.column(7).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scores == [-float(len(b" ".join(lm_score.tokens(t))) + 1) for t in texts[:4002]] and peak < 40e6, peak
+    *_, counted = lm_score.count_batches([pa.RecordBatch.from_arrays([batch.column(2)], names=["text"])])
+    assert counted.column(1).to_pylist() == codes.tolist() and counted.column(2).to_pylist() == times.tolist()
+
+
 def test_lm_odd(spark, odd, empty):
     out = lm_score.score(spark, odd).collect()
     assert len(out) == 12 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
