@@ -15,8 +15,8 @@ confident over all the words they extract; they teach no further pattern.
 Instances that end up trusted are added as spans of
 kind ``context``; plain spans always stay.
 
-DataFrame operations only; the texts are read once, and what the rounds join
-are distinct (pattern, instance) edges with partial counts.
+DataFrame operations only; what the rounds join are distinct (pattern,
+instance) edges with partial counts. The texts are read again for plain words.
 
 Defined results: a null text counts as empty; texts are searched whole; the
 patterns are written so that no text makes them slow or deep; repeated rows
@@ -50,6 +50,8 @@ RUN = r"(?<![^\x20])[^\x200-9@]*+[0-9@][^\x20]*+(?:\x20(?:[^\x200-9@]*+[0-9@][^\
 CONFIDENT = 0.8
 SUPPORT = 5
 PIECE = 256
+#: Most patterns or words that are broadcast.
+SENT = 200_000
 
 
 def digits(x: Column) -> Column:
@@ -196,30 +198,44 @@ def tokens(rows: DataFrame, text: str) -> DataFrame:
     return rows.select(F.col("__rid").alias("rid"), F.split(F.translate(t, BLANKS, "     "), " ").alias("ts"))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """For a join with every word of the texts: sent to all executors while it has few rows, so that the words stay where they are."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def plain_words(docs: DataFrame, ends: DataFrame, scratch: Scratch, text: str = "text", confident: float = CONFIDENT) -> DataFrame:
     """(rid, s, e) of words with neither digit nor at sign that confident patterns extract.
 
     Here a pattern is scored over all words it extracts, not those with digits
-    only, and a word must stand in such patterns in most of its places.
+    only, and a word must stand in such patterns in most of its places. Most
+    patterns extract far too many words for that, so their words are first dealt
+    to hash buckets: more filled buckets than a confident pattern may have words
+    rule a pattern out, and distinct words are gathered for the others only.
     """
     words = tokens(docs, text).select(F.filter("ts", lambda x: x != "").alias("ws"))
     three = F.transform("ws", lambda x, i: F.struct(F.lower(bare(x)).alias("instance"), F.lower(F.get("ws", i - 1)).alias("b"), F.lower(F.get("ws", i + 1)).alias("a")))
     near = words.select(F.explode(three).alias("w")).select("w.*").where("instance <> ''")
     word = ~F.col("instance").rlike("[0-9@]")
-    sides = near.select("instance", F.explode(F.array(F.concat(F.lit("L "), "b"), F.concat(F.lit("R "), "a"))).alias("pattern")).join(ends.select("pattern"), "pattern")
-    edges = scratch.keep("word-edges", sides.groupBy("pattern", "instance").agg(F.count("*").alias("n")))
+    sides = lambda rows, of: rows.select("instance", F.explode(F.array(F.concat(F.lit("L "), "b"), F.concat(F.lit("R "), "a"))).alias("pattern")).join(few(of), "pattern")
+    bucket = F.pmod(F.xxhash64("instance"), F.ceil(F.col("t") * F.lit(2 / confident - 2)).cast("long") + 4)
+    filled = sides(near.where(word), ends).select("pattern", "t", bucket.alias("bucket")).distinct().groupBy("pattern", "t").agg(F.count("*").alias("k"))
+    ends = scratch.keep("open", filled.where(F.col("t") / (F.col("k") + F.col("t")) >= confident).select("pattern", "t"))
+    none = docs.sparkSession.createDataFrame([], "rid long, s int, e int")
+    if ends.isEmpty():
+        return none
+    edges = scratch.keep("word-edges", sides(near, ends.select("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n")))
     plain = edges.where(word).groupBy("pattern").agg(F.count("*").alias("k"))
     single = edges.where(~word).groupBy("pattern").agg(F.count("*").alias("d"))
     good = ends.join(plain, "pattern").join(single, "pattern").where(F.col("t") / (F.col("k") + F.greatest("d", "t")) >= confident).select("pattern")
     reached = scratch.keep("words", edges.where(word).join(good, "pattern").groupBy("instance").agg(F.max("n").alias("n")))
     if reached.isEmpty():
-        return docs.sparkSession.createDataFrame([], "rid long, s int, e int")
-    often = near.select("instance").join(reached, "instance").groupBy("instance").agg(F.count("*").alias("all"), F.first("n").alias("n"))
+        return none
+    often = near.select("instance").join(few(reached), "instance").groupBy("instance").agg(F.count("*").alias("all"), F.first("n").alias("n"))
     kept = scratch.keep("kept", often.where(F.col("n") / F.col("all") >= confident).select("instance"))
     starts = lambda ts: running(F.transform(ts, lambda x: F.length(x).cast("long") + 1))
     at = tokens(docs, text).select("rid", F.explode(F.zip_with("ts", starts(F.col("ts")), lambda x, end: F.struct(x.alias("x"), end.alias("end")))).alias("w")).select("rid", "w.*").where("x <> ''")
     pieces = at.select("rid", F.lower(bare(F.col("x"))).alias("instance"), (F.col("end") - 1 - F.length(F.ltrim("x", F.lit(OPENING)))).cast("int").alias("s"))
-    return pieces.join(kept, "instance").select("rid", "s", (F.col("s") + F.length("instance")).alias("e"))
+    return pieces.join(few(kept), "instance").select("rid", "s", (F.col("s") + F.length("instance")).alias("e"))
 
 
 def find(spark: SparkSession, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

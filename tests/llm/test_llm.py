@@ -233,6 +233,42 @@ def test_pii_marks_runs_and_seeds(spark):
     assert got[30, 37] == ("a1@b.co", False, got[30, 37][2], True) and got[46, 48] == ("x9", False, False, False)
 
 
+def test_pii_plain_words_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pick = lambda *of: str(rng.choice(of))
+    some = {i: " ".join(pick("the", "id", "(id", "no", "Of") + "\t" + (pick("Abc,", "xy", "(xy)", "", "q") if rng.random() < 0.4 else pick("w", "u") + str(rng.integers(900)) if rng.random() < 0.5 else "v" + "abcdefghij"[rng.integers(10)] + "klmnopqrst"[rng.integers(10)]) for _ in range(12)) for i in range(80)}
+    some |= {100 + i: f"ref Zeta. end {i} ref {i}77 end" for i in range(40)} | {200 + i: f"the {''.join(chr(97 + int(x)) for x in str(i))}k of" for i in range(300)} | {600: None, 601: ""}
+    t = {"L ref": 40.0, "R end": 80.0, "L the": 30.0, "R of": 25.0, "L id": 700.0, "L no": 60.0, "L (id": 41.5, "L nowhere": 9.0}
+    seen, counts, places = collections.defaultdict(collections.Counter), collections.Counter(), []
+    for i, text in some.items():
+        ws = [(m.group(), m.start()) for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text or "")]
+        for j, (w, at) in enumerate(ws):
+            if not (x := w.lstrip(pii.OPENING).rstrip(pii.CLOSING).lower()):
+                continue
+            counts[x] += 1
+            places.append((i, at + len(w) - len(w.lstrip(pii.OPENING)), x))
+            for p in [f"L {b.lower()}" for b, _ in ws[max(0, j - 1) : j]] + [f"R {a.lower()}" for a, _ in ws[j + 1 : j + 2]]:
+                seen[p][x] += 1
+    is_word = lambda x: not re.search("[0-9@]", x)
+    k, d = ({p: sum(is_word(x) == kind for x in seen[p]) for p in t} for kind in (True, False))
+    good = [p for p in t if k[p] and d[p] and t[p] / (k[p] + max(d[p], t[p])) >= pii.CONFIDENT]
+    n = collections.Counter()
+    for p in good:
+        for x in filter(is_word, seen[p]):
+            n[x] = max(n[x], seen[p][x])
+    kept = {x for x in n if n[x] / counts[x] >= pii.CONFIDENT}
+    assert 2 <= len(good) < len([p for p in t if k[p]]) and kept
+    docs = spark.createDataFrame(list(some.items()), "__rid long, text string")
+    for sent in (pii.SENT, 0):
+        monkeypatch.setattr(pii, "SENT", sent)
+        scratch = common.Scratch(spark, "words")
+        got = pii.plain_words(docs, spark.createDataFrame(list(t.items()), "pattern string, t double"), scratch)
+        assert sorted(map(tuple, got.collect())) == sorted((i, s, s + len(x)) for i, s, x in places if x in kept)
+        # a pattern before hundreds of words is out before its words are gathered
+        edges = spark.read.parquet(*scratch.paths["word-edges"])
+        assert edges.where("pattern = 'L the'").isEmpty() and edges.count() <= sum(len(seen[p]) for p in t if k[p] <= t[p])
+
+
 def test_pii_odd(spark, odd, empty):
     out = pii.find(spark, odd).collect()
     assert len(out) == 12
