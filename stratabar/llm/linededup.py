@@ -46,6 +46,8 @@ SHORT = 76
 SENT = 1_000_000
 #: Shares of the keys that are joined one after another, so that shuffles on disk stay small.
 PASSES = 2
+#: For tables of hashes and ids, where a dictionary gains nothing.
+PLAIN = {"parquet.enable.dictionary": "false"}
 #: Pairs of places in a line's sorted hashes by which it meets the earliest like line.
 EXTREMES = ((1, -1), (2, -2), (1, 2), (-1, -2))
 
@@ -66,40 +68,53 @@ def word_hash(word: Column) -> Column:
 
 
 def bit(k: Column) -> Column:
-    """The signature bit of a word's hash."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 32).bitwiseAND(F.lit(63)).cast("int"))
+    """The signature bit of a word's hash; a shift of a long takes its distance mod 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 32).cast("int"))
 
 
 def parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
-def sets(lines: DataFrame) -> DataFrame:
-    """(id, rid, line, n, h, s1, s2) of the earliest line of each text: its place, size, sorted hashes and signature.
+def places(rows: DataFrame) -> str:
+    """The type of the lines' ids: long where row ids leave 31 bits for a line's number, else a decimal."""
+    low, high = rows.agg(F.min("__rid"), F.max("__rid")).first()
+    return "bigint" if low is None or -(1 << 32) <= low and high < 1 << 32 else "decimal(38,0)"
+
+
+def parts(kind: str) -> tuple[Column, Column]:
+    """Row id and line number of an id."""
+    if kind == "bigint":
+        return F.shiftright("id", 31), F.col("id").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    line = F.pmod("id", F.lit(1 << 31).cast(kind))
+    return ((F.col("id") - line) / F.lit(1 << 31)).cast("long"), line.cast("int")
+
+
+def sets(lines: DataFrame, kind: str) -> DataFrame:
+    """(id, n, h, s1, s2) of the earliest line of each text: its place among all lines, size, sorted hashes and signature.
 
     Two sets differ in as many words as the bits in which their signatures
     differ, or more; s1 and s2 are the two halves of long lines, and s1 the
     exclusive or of both for others.
     """
-    place = F.col("__rid").cast("decimal(38,0)") * F.lit(1 << 31) + F.col("line")
-    first = lines.select("t", place.cast("decimal(38,0)").alias("place")).groupBy("t").agg(F.min("place").alias("place"))
-    line = F.pmod("place", F.lit(1 << 31).cast("decimal(38,0)"))
+    place = F.col("__rid").cast(kind) * F.lit(1 << 31) + F.col("line")
+    first = lines.select("t", place.cast(kind).alias("id")).groupBy("t").agg(F.min("id").alias("id"))
     keys = F.array_remove(F.array_distinct(F.transform(F.split("t", " "), word_hash)), word_hash(F.lit("")))
-    hashed = first.select("place", line.cast("int").alias("line"), F.sort_array(keys).alias("h"))
-    folded = hashed.select(F.expr(f"(place - line) div {1 << 31}").alias("rid"), "line", F.size("h").alias("n"), "h", parity(F.col("h")).alias("s"))
+    hashed = first.select("id", F.sort_array(keys).alias("h"))
+    folded = hashed.select("id", F.size("h").alias("n"), "h", parity(F.col("h")).alias("s"))
     half = F.when(F.col("n") > SHORT, parity(F.filter("h", lambda k: F.shiftright(k, 38).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
-    split = folded.select("rid", "line", "n", "h", "s", half.alias("s2"))
-    return split.select(F.monotonically_increasing_id().alias("id"), "rid", "line", "n", "h", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2")
+    split = folded.select("id", "n", "h", "s", half.alias("s2"))
+    return split.select("id", "n", "h", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2")
 
 
 def ranks(known: DataFrame, scratch: Scratch) -> Column:
-    """Rarity ranks (four a doubling of the count) of BUCKETS hash buckets of words: one array of a byte each, as a scalar subquery."""
+    """Rarity ranks (four a doubling of the count) of BUCKETS hash buckets of words, above the bits of a hash: one array, as a scalar subquery."""
     bucket = F.col("k").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
     counts = known.select(F.explode("h").alias("k")).groupBy(bucket).agg(F.count("*").alias("n"))
     every = counts.union(known.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long"))).groupBy("b").agg(F.floor(4 * F.log2(1 + F.sum("n"))).cast("tinyint").alias("r"))
     in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
     pieces = every.groupBy(F.shiftright("b", 9).alias("g")).agg(in_order("b", "r").alias("r"))  # 512 entries each
-    return scratch.keep("ranks", pieces.agg(F.flatten(in_order("g", "r")).alias("r"))).scalar()
+    return scratch.keep("ranks", pieces.agg(F.transform(F.flatten(in_order("g", "r")), lambda r: F.shiftleft(r.cast("long"), BITS)).alias("r"))).scalar()
 
 
 def need(total: Column, least: float) -> Column:
@@ -129,21 +144,23 @@ def some(table: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 def verified(pairs: DataFrame, known: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(id) of the later line of each pair (x, y) whose similarity holds, by whole sets of hashes."""
     ids = scratch.keep("ids", pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct())
-    held = scratch.keep("held", some(known.select("id", "rid", "line", "n", "h"), ids, "left_semi"))
-    side = lambda p: held.select(F.col("id").alias(p), F.struct("rid", "line").alias(f"{p}at"), F.col("n").alias(f"{p}n"), F.col("h").alias(f"{p}h"))
+    held = scratch.keep("held", some(known.select("id", "n", "h"), ids, "left_semi"))
+    side = lambda p: held.select(F.col("id").alias(p), F.col("n").alias(f"{p}n"), F.col("h").alias(f"{p}h"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("c", F.size(F.array_intersect("xh", "yh")))
     alike = both.where(F.col("c") >= F.lit(least) * (F.col("xn") + F.col("yn") - F.col("c")) - F.lit(1e-9))
-    return alike.select(F.when(F.col("xat") > F.col("yat"), F.col("x")).otherwise(F.col("y")).alias("id")).distinct()
+    return alike.select(F.greatest("x", "y").alias("id")).distinct()
 
 
 def settled(known: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(id) of lines like the earliest line that has the same two extreme hashes."""
     ends = [F.xxhash64(F.lit(i), F.try_element_at("h", F.lit(a)), F.try_element_at("h", F.lit(b))) for i, (a, b) in enumerate(EXTREMES)]
-    met = known.select("id", "rid", "line", "n", "s1", "s2", F.explode(F.array(*ends)).alias("k"))
-    first = met.groupBy("k").agg(F.count("*").alias("c"), F.min(F.struct("rid", "line", "id", "n", "s1", "s2")).alias("f")).where("c > 1")
-    first = scratch.keep("first", first.select("k", *(F.col(f"f.{c}").alias(f"f{c}") for c in ("id", "n", "s1", "s2"))))
+    met = known.select("id", "n", "s1", "s2", F.explode(F.array(*ends)).alias("k"))
+    # ids alone are compared, which takes no sort; what else the filter asks of the earliest lines is joined to those that lead others.
+    # A key has one earliest line, and a line four keys at most, so these hash tables stay even
+    first = met.groupBy("k").agg(F.min("id").alias("fid"), F.max("id").alias("last")).where("fid < last").select("k", "fid")
+    first = scratch.keep("first", first.hint("shuffle_hash").join(known.select(F.col("id").alias("fid"), *(F.col(c).alias(f"f{c}") for c in ("n", "s1", "s2"))), "fid"), **PLAIN)
     x = met.select("k", F.col("id").alias("xid"), *(F.col(c).alias(f"x{c}") for c in ("n", "s1", "s2")))
-    pairs = x.join(first, "k").where((F.col("xid") != F.col("fid")) & near("x", "f", least))
+    pairs = x.join(first.hint("shuffle_hash"), "k").where((F.col("xid") != F.col("fid")) & near("x", "f", least))
     pairs = scratch.keep("led", pairs.select(F.col("xid").alias("x"), F.col("fid").alias("y")).distinct())
     return verified(pairs, known, least, scratch)
 
@@ -172,30 +189,32 @@ def kept_lines(spark: SparkSession, docs: DataFrame, least: float = LEAST, text:
     """``docs`` with a row id ``__rid``, and (__rid, __kept): the numbers, from nought, of the lines with words that stay."""
     scratch = Scratch(spark, "lines")
     rows = with_rid(docs, key, scratch)
-    # sorted hashes: a dictionary gains nothing
-    known = scratch.keep("sets", sets(lines_of(rows, text)), compression="zstd", **{"parquet.enable.dictionary": "false"})
+    kind = places(rows)
+    known = scratch.keep("sets", sets(lines_of(rows, text), kind), compression="zstd", **PLAIN)
     gone = scratch.keep("settled", settled(known, least, scratch))
     rank = ranks(known, scratch)
-    ranked = F.sort_array(F.transform("h", lambda k: F.shiftleft(F.get("rank", k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), BITS).bitwiseOR(k)))
+    # never null, or the sort would be one of objects
+    ranked = F.sort_array(F.transform("h", lambda k: F.coalesce(F.get("rank", k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(k)))
     prefix = F.slice(ranked, F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - F.lit(1e-6)) + 1).cast("int"))
     marked = gone.select("id", F.lit(False).alias("open"))
     # a subquery may not stand inside the lambda by itself, but as a column that is used once it is put there
     marked = known.join(F.broadcast(marked) if gone.count() <= SENT else marked, "id", "left").withColumn("rank", rank)
-    prefixes = scratch.keep("prefixes", marked.select("id", "n", "s1", "s2", F.coalesce("open", F.lit(True)).alias("open"), prefix.alias("p")))
+    prefixes = scratch.keep("prefixes", marked.select("id", "n", "s1", "s2", F.coalesce("open", F.lit(True)).alias("open"), prefix.alias("p")), **PLAIN)
     pairs = None
     for part in range(PASSES):
-        found = scratch.keep("pairs", joined(prefixes, least, part))
+        found = scratch.keep("pairs", joined(prefixes, least, part), **PLAIN)
         pairs = found if pairs is None else pairs.union(found)
     gone = scratch.keep("gone", gone.union(verified(pairs.distinct(), known, least, scratch)).distinct())
-    left = some(known.select("id", "rid", "line"), gone, "left_anti")
-    kept = scratch.keep("kept", left.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("line").alias("__kept")))  # at most a document's lines
+    rid, line = parts(kind)
+    left = some(known.select("id"), gone, "left_anti").select(rid.alias("__rid"), line.alias("line"))
+    kept = scratch.keep("kept", left.groupBy("__rid").agg(F.collect_list("line").alias("__kept")))  # at most a document's lines
     scratch.drop_but("kept", "rows")
     return rows, kept
 
 
 def numbers(text: str) -> Column:
     """Numbers of the lines that have a word."""
-    parts = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x, i: F.when(F.length(F.trim(x, F.lit(" \t\x0b\x0c\r"))) > 0, i))
+    parts = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x, i: F.when(F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != "", i))
     return F.array_compact(parts)
 
 

@@ -427,6 +427,23 @@ def test_lines_odd(spark, odd, empty):
     assert linededup.digest(*linededup.kept_lines(spark, empty)).count() == 0
 
 
+@pytest.mark.parametrize("base, kind", [(0, "bigint"), (-(1 << 32), "bigint"), ((1 << 32) - 300, "bigint"), ((1 << 32) - 100, "decimal(38,0)"), (-(1 << 32) - 1, "decimal(38,0)"), (-(1 << 63), "decimal(38,0)"), ((1 << 63) - 300, "decimal(38,0)")])
+def test_lines_by_ids_that_need_no_sort(spark, monkeypatch, base, kind):
+    rng = np.random.default_rng(6)
+    rows = [(base + i, "\n".join(" ".join(rng.choice([f"w{k}" for k in range(14)], 6).tolist()) for _ in range(2))) for i in range(200)] + [(base + 250, "\n \x0b\n\r\t")]
+    made, keep = {}, common.Scratch.keep
+
+    def kept(self, name, df, **options):
+        made[name] = (dict(df.dtypes), df._jdf.queryExecution().sparkPlan().toString())
+        return keep(self, name, df, **options)
+
+    monkeypatch.setattr(common.Scratch, "keep", kept)
+    got = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert removed_lines(got) == {(rows[at][0], k) for at, k in brute_lines(rows)}
+    assert made["sets"][0]["id"] == kind and not any("SortAggregate" in plan for _, plan in made.values())
+    assert ("decimal" in made["sets"][1]) == (kind != "bigint")
+
+
 def test_lines_of_repeated_and_null_ids(spark):
     rows = [(2, "one two three"), (2, "one two three\nfour five six"), (None, "four five six"), (None, None), (1, "seven"), (3, "SEVEN\n\n")]
     found = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
