@@ -22,10 +22,12 @@ def shared_root(spark: SparkSession) -> str:
     is a temporary folder made and set, once an application; a cluster that
     names none is refused, as its machines would each write to their own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if root:
         return root
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    # every running context has a master in its settings
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master") or "local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _OWN:

@@ -843,3 +843,15 @@ def test_own_shared_folder_is_set_once():
 
     root = common.shared_root(Session)
     assert root == common.shared_root(Session) == Session.sparkContext.path
+
+
+def test_cluster_without_a_shared_folder_is_refused():
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://host", "local", "local[4]", "local[*, 2]"):
+        conf = {"spark.master": master}
+        context = type("Context", (), {"applicationId": f"test-{master}", "getConf": lambda self, c=conf: c, "setCheckpointDir": lambda self, path: None})
+        session = type("Session", (), {"conf": {}, "sparkContext": context()})
+        if master.split("[")[0] == "local":
+            assert common.shared_root(session).startswith("file:///")
+        else:
+            with pytest.raises(ValueError):
+                common.shared_root(session)
