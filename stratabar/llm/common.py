@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,17 @@ def shared_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Intermediate tables in the shared folder; they cut lineage and outlive executors."""
 
@@ -49,12 +61,8 @@ class Scratch:
         """Write ``df`` under ``name`` and return a frame that reads it again; the shuffle files of the write go with it."""
         self.made += 1
         path = f"{self.base}/{name}-{self.made}"
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with setting(self.spark, CLEANUP, "true"):
             df.write.options(**options).parquet(path)
-        finally:
-            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         if not self.paths:
             self._file(self.base, lambda fs, p: fs.deleteOnExit(p))
         self.paths.setdefault(name, []).append(path)

@@ -30,14 +30,22 @@ gives an empty result.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratabar.llm.common import Scratch, with_rid
+from stratabar.llm.common import Scratch, setting, with_rid
 
 LEAST = 0.8
+#: White space within lines, besides the space.
+WHITE = "\t\x0b\x0c\r"
 #: Buckets of the rarity table, a power of two.
 BUCKETS = 1 << 18
+#: How many groups, as a power of two, Spark's fast hash map of an aggregate holds; 16 by itself, beyond which it is of no use.
+TWO_LEVELS = "spark.sql.codegen.aggregate.map.twolevel.enabled"
+FAST = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 #: Bits of a word's hash.
 BITS = 48
 #: Lines of more words have signatures of 128 bits.
@@ -47,14 +55,21 @@ SENT = 1_000_000
 #: Shares of the keys that are joined one after another, so that shuffles on disk stay small.
 PASSES = 2
 #: For tables of hashes and ids, where a dictionary gains nothing.
-PLAIN = {"parquet.enable.dictionary": "false"}
-#: Pairs of places in a line's sorted hashes by which it meets the earliest like line.
-EXTREMES = ((1, -1), (2, -2), (1, 2), (-1, -2))
+PLAIN = {"parquet.enable.dictionary": "false", "parquet.size.statistics.enabled": "false"}
+#: Hashes get little smaller by more effort.
+QUICK = {"parquet.compression.codec.zstd.level": "1"}
+#: Writes an array as a repeated field, without a group around each element.
+LISTS = "spark.sql.parquet.writeLegacyFormat"
+#: Extreme hashes of a line by their places in its sorted ones, and pairs of them by which it meets the earliest like line.
+ENDS = {"e1": 1, "e2": 2, "e3": -2, "e4": -1}
+EXTREMES = (("e1", "e4"), ("e2", "e3"), ("e1", "e2"), ("e4", "e3"))
 
 
 def normal(text: Column) -> Column:
     """Lower-cased, with spaces for other white space within lines."""
-    return F.when(text.rlike("[\t\x0b\x0c\r]"), F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")).otherwise(F.lower(text))
+    # bytes are looked through for each, which takes less than a pattern
+    some = reduce(operator.or_, (F.contains(text, F.lit(c)) for c in WHITE))
+    return F.when(some, F.translate(F.lower(text), WHITE, " " * len(WHITE))).otherwise(F.lower(text))
 
 
 def lines_of(rows: DataFrame, text: str) -> DataFrame:
@@ -91,30 +106,34 @@ def parts(kind: str) -> tuple[Column, Column]:
 
 
 def sets(lines: DataFrame, kind: str) -> DataFrame:
-    """(id, n, h, s1, s2) of the earliest line of each text: its place among all lines, size, sorted hashes and signature.
+    """(id, n, h, s1, s2, e1, e2, e3, e4) of the earliest line of each text: its place among all lines, size, sorted hashes, signature and extreme hashes.
 
     Two sets differ in as many words as the bits in which their signatures
     differ, or more; s1 and s2 are the two halves of long lines, and s1 the
-    exclusive or of both for others.
+    exclusive or of both for others. e1 to e4 are the hashes at ``ENDS``, null
+    where there are too few, so that whole sets are not read for them.
     """
     place = F.col("__rid").cast(kind) * F.lit(1 << 31) + F.col("line")
     first = lines.select("t", place.cast(kind).alias("id")).groupBy("t").agg(F.min("id").alias("id"))
     keys = F.array_remove(F.array_distinct(F.transform(F.split("t", " "), word_hash)), word_hash(F.lit("")))
     hashed = first.select("id", F.sort_array(keys).alias("h"))
-    folded = hashed.select("id", F.size("h").alias("n"), "h", parity(F.col("h")).alias("s"))
+    ends = [F.try_element_at("h", F.lit(at)).alias(e) for e, at in ENDS.items()]
+    folded = hashed.select("id", F.size("h").alias("n"), "h", parity(F.col("h")).alias("s"), *ends)
     half = F.when(F.col("n") > SHORT, parity(F.filter("h", lambda k: F.shiftright(k, 38).bitwiseAND(F.lit(1)) == 1))).otherwise(F.lit(0).cast("long"))
-    split = folded.select("id", "n", "h", "s", half.alias("s2"))
-    return split.select("id", "n", "h", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2")
+    split = folded.select("id", "n", "h", "s", half.alias("s2"), *ENDS)
+    return split.select("id", "n", "h", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2", *ENDS)
 
 
 def ranks(known: DataFrame, scratch: Scratch) -> Column:
     """Rarity ranks (four a doubling of the count) of BUCKETS hash buckets of words, above the bits of a hash: one array, as a scalar subquery."""
-    bucket = F.col("k").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
+    bucket = F.col("k").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
     counts = known.select(F.explode("h").alias("k")).groupBy(bucket).agg(F.count("*").alias("n"))
-    every = counts.union(known.sparkSession.range(BUCKETS).select("id", F.lit(0).cast("long"))).groupBy("b").agg(F.floor(4 * F.log2(1 + F.sum("n"))).cast("tinyint").alias("r"))
+    every = counts.union(known.sparkSession.range(BUCKETS).select(F.col("id").cast("int"), F.lit(0).cast("long"))).groupBy("b").agg(F.floor(4 * F.log2(1 + F.sum("n"))).cast("tinyint").alias("r"))
     in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
     pieces = every.groupBy(F.shiftright("b", 9).alias("g")).agg(in_order("b", "r").alias("r"))  # 512 entries each
-    return scratch.keep("ranks", pieces.agg(F.transform(F.flatten(in_order("g", "r")), lambda r: F.shiftleft(r.cast("long"), BITS)).alias("r"))).scalar()
+    table = pieces.agg(F.transform(F.flatten(in_order("g", "r")), lambda r: F.shiftleft(r.cast("long"), BITS)).alias("r"))
+    with setting(known.sparkSession, FAST, str(BUCKETS.bit_length())):
+        return scratch.keep("ranks", table).scalar()
 
 
 def need(total: Column, least: float) -> Column:
@@ -153,7 +172,7 @@ def verified(pairs: DataFrame, known: DataFrame, least: float, scratch: Scratch)
 
 def settled(known: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(id) of lines like the earliest line that has the same two extreme hashes."""
-    ends = [F.xxhash64(F.lit(i), F.try_element_at("h", F.lit(a)), F.try_element_at("h", F.lit(b))) for i, (a, b) in enumerate(EXTREMES)]
+    ends = [F.xxhash64(F.lit(i), *pair) for i, pair in enumerate(EXTREMES)]
     met = known.select("id", "n", "s1", "s2", F.explode(F.array(*ends)).alias("k"))
     # ids alone are compared, which takes no sort; what else the filter asks of the earliest lines is joined to those that lead others.
     # A key has one earliest line, and a line four keys at most, so these hash tables stay even
@@ -175,14 +194,18 @@ def joined(prefixes: DataFrame, least: float, part: int) -> DataFrame:
     few = F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-6)) + 1
     at = F.posexplode("p").alias("i", "key")
     here = F.pmod(F.shiftright("key", 20), F.lit(PASSES)) == part
-    lone = (1 << BITS) - 1
-    cols = lambda p, *more: [F.col("key").bitwiseAND(F.lit(lone)).alias("key"), *(F.col(c).alias(f"{p}{c}") for c in ("id", "n", "i", "s1", "s2", *more))]
-    left = prefixes.where("open").select("id", "n", "s1", "s2", at).where(here).select(*cols("x"))
+    key = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1)).alias("key")
+    # size, place and state are one long, as millions of these rows are shuffled and sorted
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(F.col("open").cast("long")).alias("m")
+    side = lambda rows, p: rows.select("id", "n", "s1", "s2", "open", at).where(here).select(key, *(c.alias(f"{p}{n}") for n, c in (("id", F.col("id")), ("m", packed), ("s1", F.col("s1")), ("s2", F.col("s2")))))
     shorter = prefixes.withColumn("p", F.when(F.col("open"), F.slice("p", F.lit(1), few.cast("int"))).otherwise(F.col("p")))
-    right = shorter.select("id", "n", "s1", "s2", "open", at).where(here).select(*cols("y", "open"))
+    both = side(prefixes.where("open"), "x").join(side(shorter, "y"), "key")
+    place = lambda m: F.shiftright(F.col(m).bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    both = both.withColumns({"xn": F.shiftright("xm", 32), "yn": F.shiftright("ym", 32), "xi": place("xm"), "yi": place("ym"), "yopen": F.col("ym").bitwiseAND(F.lit(1).cast("long")) == 1})
     order = (F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("yid") < F.col("xid"))) | ~F.col("yopen")
     rest = F.least(F.col("xn") - F.col("xi"), F.col("yn") - F.col("yi")) >= need(F.col("xn") + F.col("yn"), least)
-    return left.join(right, "key").where(order & rest & near("x", "y", least)).select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
+    # cheapest first: four in five of those that share a word differ too much in size
+    return both.where(order & near("x", "y", least) & rest).select(F.col("xid").alias("x"), F.col("yid").alias("y")).distinct()
 
 
 def kept_lines(spark: SparkSession, docs: DataFrame, least: float = LEAST, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -190,8 +213,11 @@ def kept_lines(spark: SparkSession, docs: DataFrame, least: float = LEAST, text:
     scratch = Scratch(spark, "lines")
     rows = with_rid(docs, key, scratch)
     kind = places(rows)
-    known = scratch.keep("sets", sets(lines_of(rows, text), kind), compression="zstd", **PLAIN)
+    # lines are nearly all distinct, and the map before that of Spark's aggregates takes a second hash of each text, byte by byte
+    with setting(spark, TWO_LEVELS, "false"), setting(spark, LISTS, "true"):
+        known = scratch.keep("sets", sets(lines_of(rows, text), kind), compression="zstd", **QUICK, **PLAIN)
     gone = scratch.keep("settled", settled(known, least, scratch))
+    scratch.drop_but("rows", "sets", "settled")
     rank = ranks(known, scratch)
     # never null, or the sort would be one of objects
     ranked = F.sort_array(F.transform("h", lambda k: F.coalesce(F.get("rank", k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long")).bitwiseOR(k)))
@@ -199,7 +225,8 @@ def kept_lines(spark: SparkSession, docs: DataFrame, least: float = LEAST, text:
     marked = gone.select("id", F.lit(False).alias("open"))
     # a subquery may not stand inside the lambda by itself, but as a column that is used once it is put there
     marked = known.join(F.broadcast(marked) if gone.count() <= SENT else marked, "id", "left").withColumn("rank", rank)
-    prefixes = scratch.keep("prefixes", marked.select("id", "n", "s1", "s2", F.coalesce("open", F.lit(True)).alias("open"), prefix.alias("p")), **PLAIN)
+    with setting(spark, LISTS, "true"):
+        prefixes = scratch.keep("prefixes", marked.select("id", "n", "s1", "s2", F.coalesce("open", F.lit(True)).alias("open"), prefix.alias("p")), **PLAIN)
     pairs = None
     for part in range(PASSES):
         found = scratch.keep("pairs", joined(prefixes, least, part), **PLAIN)
@@ -212,16 +239,20 @@ def kept_lines(spark: SparkSession, docs: DataFrame, least: float = LEAST, text:
     return rows, kept
 
 
-def numbers(text: str) -> Column:
+def cut(text: str) -> Column:
+    """The lines of a text; a null text has one, the empty one."""
+    return F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
+
+
+def numbers(parts: str) -> Column:
     """Numbers of the lines that have a word."""
-    parts = F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1), lambda x, i: F.when(F.ltrim(x, F.lit(" \t\x0b\x0c\r")) != "", i))
-    return F.array_compact(parts)
+    return F.array_compact(F.transform(parts, lambda x, i: F.when(F.ltrim(x, F.lit(" " + WHITE)) != "", i)))
 
 
 def digest(rows: DataFrame, kept: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): removed holds the line numbers, from nought, comma-joined."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    sizes = rows.select("__rid", F.col(key).cast("long").alias("doc_id"), F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines"), numbers(text).alias("all"))
+    parts = rows.select("__rid", F.col(key).cast("long").alias("doc_id"), cut(text).alias("parts"))
+    sizes = parts.select("__rid", "doc_id", F.size("parts").cast("long").alias("n_lines"), numbers("parts").alias("all"))
     gone = F.array_except("all", F.coalesce("__kept", F.array().cast("array<int>")))
     out = sizes.join(kept, "__rid", "left").select("doc_id", "n_lines", gone.alias("gone"))
     return out.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join("gone", ",").alias("removed"))
@@ -229,12 +260,11 @@ def digest(rows: DataFrame, kept: DataFrame, text: str = "text", key: str = "doc
 
 def clean(rows: DataFrame, kept: DataFrame, text: str = "text") -> DataFrame:
     """``rows`` without the removed lines and the row id; all other columns stay, a null text too."""
-    gone = F.array_except(numbers(text), F.coalesce("__kept", F.array().cast("array<int>")))
-    parts = F.split(F.col(text).cast("string"), "\n", -1)
+    gone = F.array_except(numbers("__parts"), F.coalesce("__kept", F.array().cast("array<int>")))
     # gone is in order, so a cursor over it would do; a map keeps the look-up constant in a document's lines
-    out = rows.join(kept, "__rid", "left").withColumn("__gone", gone)
+    out = rows.join(kept, "__rid", "left").withColumn("__parts", cut(text)).withColumn("__gone", gone)
     flags = F.map_from_arrays(F.col("__gone"), F.array_repeat(F.lit(True), F.size("__gone")))
-    left = F.array_join(F.array_compact(F.transform(parts, lambda x, i: F.when(F.element_at(flags, i).isNull(), x))), "\n")
+    left = F.array_join(F.array_compact(F.transform("__parts", lambda x, i: F.when(F.element_at(flags, i).isNull(), x))), "\n")
     names = [c for c in rows.columns if c != "__rid"]
     return out.select(*(F.when(F.size("__gone") > 0, left).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in names))
 

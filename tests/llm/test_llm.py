@@ -444,6 +444,27 @@ def test_lines_by_ids_that_need_no_sort(spark, monkeypatch, base, kind):
     assert ("decimal" in made["sets"][1]) == (kind != "bigint")
 
 
+def test_lines_by_few_reads_of_whole_sets(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(9)]
+    rows = [(i, "\n".join(white.join(rng.choice(words, n).tolist()) for n, white in zip(rng.integers(1, 8, 5).tolist(), "\t\x0b\x0c\r ", strict=True))) for i in range(120)]
+    read, counted, keep, names = {}, {}, common.Scratch.keep, [linededup.FAST, linededup.TWO_LEVELS, linededup.LISTS]
+    before = [spark.conf.get(n, None) for n in names]
+
+    def kept(self, name, df, **options):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        read.setdefault(name, []).append(any(re.search(r"\bh#\d", line.split("]")[0]) for line in plan.splitlines() if "FileScan" in line))
+        counted[name] = int(spark.conf.get(linededup.FAST, "16"))
+        return keep(self, name, df, **options)
+
+    monkeypatch.setattr(common.Scratch, "keep", kept)
+    got = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
+    assert removed_lines(got) == {(rows[at][0], k) for at, k in brute_lines(rows)}
+    assert read["first"] == read["led"] == [False] and read["ranks"] == [True]
+    assert 1 << counted["ranks"] >= linededup.BUCKETS and [spark.conf.get(n, None) for n in names] == before
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_lines_of_repeated_and_null_ids(spark):
     rows = [(2, "one two three"), (2, "one two three\nfour five six"), (None, "four five six"), (None, None), (1, "seven"), (3, "SEVEN\n\n")]
     found = linededup.digest(*linededup.kept_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")))
